@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup
+from . import exact_dedup, packing, pii
 from .common import documents
 from .token_counts import token_counts
 
@@ -13,9 +13,15 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_pii": pii.op9_pii,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
