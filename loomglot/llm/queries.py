@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, packing, pii
+from . import exact_dedup, line_dedup, packing, pii, quality
 from .common import documents
 from .token_counts import token_counts
 
@@ -20,10 +20,13 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_quality": quality.op6_quality,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_pii": pii.op9_pii,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
