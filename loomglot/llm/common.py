@@ -62,3 +62,36 @@ def small_batches(batches, rows: int = 512, byte_budget: int = 8 << 20):
 
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(key, make):
+    """One object a key for the life of a Python worker, so that the tasks it runs in turn share its memo."""
+    if key not in _KEPT:
+        _KEPT.clear()  # a worker serves one operator at a time
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+class Memo(dict):
+    """A dictionary that computes missing values and forgets those not used of late: at the limit the entries become the
+    old generation, from which a lookup takes them back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
