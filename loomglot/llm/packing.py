@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -22,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import doc_text, record_batch, small_batches
+from .common import Memo, doc_text, kept_in_worker, record_batch, small_batches
 
 END_ID = 1
-SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 16, 128, 512
+SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 4, 64, 256
 #: Windows of these lengths need no padding.
-LEAST_POWER = 64
+LEAST_POWER = 256
 BLOCK_TOKENS = 1 << 20
 MEMO_LIMIT = 600_000
 PLAIN_WORD = re.compile(rb"[!-~]+").fullmatch
@@ -37,7 +38,7 @@ SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_
 SQL_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """Word (bytes between ASCII white space) -> its ids as little-endian unsigned 32-bit.
 
     The vocabulary's splitter drops white space and never joins across it, and its normaliser never composes across it,
@@ -45,22 +46,18 @@ class WordIds(dict):
     """
 
     def __init__(self, spec: str):
-        super().__init__()
+        super().__init__(MEMO_LIMIT)
         self.tokenizer = Tokenizer.from_str(spec)
         self.merge = self.tokenizer.model.tokenize
         self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def __missing__(self, word: bytes) -> bytes:
+    def compute(self, word: bytes) -> bytes:
         if PLAIN_WORD(word) and not any(map(word.__contains__, self.added)):
             # Printable ASCII: lower-casing is the whole normalisation and each byte stands for itself.
             found = [t.id for part in PLAIN_PARTS(word.lower().decode()) for t in self.merge(part)]
         else:
             found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        ids = np.array(found, "<u4").tobytes()
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        self[word] = ids
-        return ids
+        return array("I", found).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
@@ -77,16 +74,16 @@ def sentence_ends(tokenizer: Tokenizer) -> np.ndarray:
 
 def cut_candidates(ids: np.ndarray, doc_ends: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ascending positions after 0 where a window may end, and the penalty of each; the stream's end is the last."""
-    penalty = np.full(len(ids) + 1, HARD_PENALTY, np.int64)
     sentence = np.flatnonzero(closes[ids]) + 1
-    penalty[sentence] = SENTENCE_PENALTY
-    penalty[doc_ends] = 0
     marks = np.union1d(sentence, doc_ends)
     before = np.concatenate(([0], marks[:-1]))
     wide = np.flatnonzero(marks - before > HARD_STEP)
     if len(wide):
         marks = np.union1d(marks, np.concatenate([np.arange(before[k] + HARD_STEP, marks[k], HARD_STEP) for k in wide]))
-    return marks, penalty[marks]
+    penalty = np.full(len(marks), HARD_PENALTY, np.int64)
+    penalty[np.searchsorted(marks, sentence)] = SENTENCE_PENALTY
+    penalty[np.searchsorted(marks, doc_ends)] = 0
+    return marks, penalty
 
 
 def best_cuts(marks: list[int], penalties: list[int], size: int) -> list[int]:
@@ -160,7 +157,7 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "do
     shared = df.sparkSession.sparkContext.broadcast(spec)  # bounded by the vocabulary file
 
     def run(batches):
-        words = WordIds(shared.value)
+        words = kept_in_worker(("words", hash(shared.value)), lambda: WordIds(shared.value))
         closes = sentence_ends(words.tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         sequence, held, doc_ids, encoded = TaskContext.get().partitionId() << 32, 0, [], []
