@@ -3,16 +3,17 @@
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. Two suffixes that agree on
 ``length`` bytes are told apart, or found tied, by a sample of suffixes that covers them: in every ``length``-byte string the sample holds
 at least one position, and equal strings have it at equal offsets (the position whose first ``CORE`` bytes have the least
-rank in the string, the leftmost of equals). That is a difference cover's property for tied suffixes, at a sixteenth of all positions
-where a fixed cover of this span needs a fifth.
+rank in the string, the leftmost of equals). That is a difference cover's property for tied suffixes, at a thirteenth of all
+positions where a fixed cover of this span needs a fifth.
 
 1. Each block of documents names its sampled suffixes: a rank name of their first ``CORE`` bytes and one of all strings they stand for.
 2. Sampled suffixes are dealt to suffix buckets by name, and one bucket at a time is sorted. A name in one document only is done with. A
-   long tie (all strings alike in every document that has the name) is settled by the names alone: the least id.
-3. Only where a name is shared but the strings around it differ, the strings themselves are sorted, again one bucket at a time.
+   long tie (all strings alike in several documents) is settled by the names alone: the least id.
+3. Only where a name is shared but the strings around it differ, the strings themselves are sorted, again one bucket at a time, from one
+   document for each kind of surroundings.
 4. Each block marks its bytes and cuts them out.
 
-Buckets and blocks are bounded by the parameters; a block sends one entry a name however many of its documents share it, so a
+Buckets and blocks are bounded by the parameters; a block sends one entry a name and surroundings however many of its documents share it, so a
 passage in a third of all documents costs a bucket one entry a block. Texts are shuffled once, compressed, and read by
 steps 1, 3 and 4.
 """
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, documents, small_batches
 
-LENGTH, CORE = 50, 20
+LENGTH, CORE = 50, 26
 BLOCK_BYTES, SLICE_BYTES, BUCKET_ENTRIES = 2 << 20, 1 << 19, 400_000
 NULL_ID = -(1 << 63)
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-ONE_CONTEXT, MANY_CONTEXTS, MANY_DOCS = 0, 1, 2
+MANY_DOCS = 1
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("body", pa.binary())])
@@ -172,32 +173,43 @@ def read_body(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return key, context, ids[which], np.frombuffer(data, np.uint8, n, at + 4 * n)
 
 
-def combine(key: np.ndarray, context: np.ndarray, doc: np.ndarray, flag: np.ndarray):
-    """One entry a key: key, context, least and greatest id, flag, and the order and heads of the groups."""
-    order = np.argsort(key, kind="stable")
-    key, context, doc, flag = key[order], context[order], doc[order], flag[order]
-    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    low, high = np.minimum.reduceat(context, heads), np.maximum.reduceat(context, heads)
-    least, most = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-    flags = np.bitwise_or.reduceat(flag, heads)
-    flags = flags | np.where(low != high, MANY_CONTEXTS, 0).astype(np.uint8) | np.where(least != most, MANY_DOCS, 0).astype(np.uint8)
-    return key[heads], low, least, flags, order, heads
+def pair(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """One name for a key and a context."""
+    return mix(key * np.uint64(0xA0761D6478BD642F) + (context & np.uint64((1 << 48) - 1)) + np.uint64(1))
+
+
+def heads_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def spread(heads: np.ndarray, total: int) -> np.ndarray:
+    """The run of each row."""
+    return np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [total]))))
 
 
 def dealt(block: int, level: int, key: np.ndarray, context: np.ndarray | None, doc: np.ndarray, shift: int) -> list[tuple]:
-    """A block's entries, one a key, as rows by suffix bucket: the bits of the key above ``shift``."""
+    """A block's entries, one a key and context, as rows by suffix bucket: the bits of the key above ``shift``."""
     if not len(key):
         return []
-    mask = np.uint64((1 << 48) - 1)
-    held = np.zeros(len(key), np.uint64) if context is None else context & mask
-    key, held, doc, flag, _, _ = combine(key, held, doc, np.zeros(len(key), np.uint8))
+    held = np.zeros(len(key), np.uint64) if context is None else context & np.uint64((1 << 48) - 1)
+    order = np.lexsort((doc, held, key))
+    key, held, doc = key[order], held[order], doc[order]
+    heads = heads_of(key, held)
+    flag = np.where(doc[heads] != doc[np.concatenate((heads[1:], [len(doc)])) - 1], MANY_DOCS, 0).astype(np.uint8)
+    key, held, doc = key[heads], held[heads], doc[heads]
     bucket = (key >> np.uint64(shift)).astype(np.int64)  # ascending, as the keys are
-    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    cuts = np.append(heads_of(bucket), len(bucket))
     return [(int(bucket[a]), block, level, write_body(key[a:b], None if context is None else held[a:b], doc[a:b], flag[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def settle(table: pa.Table) -> pa.Table:
-    """Sort one suffix bucket. Each block that needs it learns of a key: the least id, and whether its strings must be looked at.
+    """Sort one suffix bucket. A block that needs it learns of a key and context: the least id that has both, and whether the key has other
+    contexts, so that the strings must be looked at.
 
     Rows of level 0 are answers on their way and pass through.
     """
@@ -211,16 +223,20 @@ def settle(table: pa.Table) -> pa.Table:
         parts = [read_body(bodies[k]) for k in mine]
         key, context, doc, flag = (np.concatenate(x) for x in zip(*parts))
         source = np.repeat(np.arange(len(mine)), [len(p[0]) for p in parts])
-        _, _, least, flags, order, heads = combine(key, context, doc, flag)
-        group = np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [len(key)]))))
-        key, doc, flag, source = key[order], doc[order], flag[order], source[order]
-        shared, many = flags[group] & MANY_DOCS > 0, flags[group] & MANY_CONTEXTS > 0
-        tell = shared & (many | (least[group] < doc) | (flag & MANY_DOCS > 0))
-        key, source, answer, many = key[tell], source[tell], least[group][tell], many[tell]
+        order = np.lexsort((context, key))
+        key, context, doc, flag, source = (x[order] for x in (key, context, doc, flag, source))
+        by_key, by_both = heads_of(key), heads_of(key, context)
+        of_key, of_both = spread(by_key, len(key)), spread(by_both, len(key))
+        shared = (np.minimum.reduceat(doc, by_key) != np.maximum.reduceat(doc, by_key)) | (np.bitwise_or.reduceat(flag, by_key) > 0)
+        many = np.minimum.reduceat(context, by_key) != np.maximum.reduceat(context, by_key)
+        least = np.minimum.reduceat(doc, by_both)[of_both]
+        many = many[of_key]
+        tell = shared[of_key] & (many | (least < doc) | (flag > 0))
+        name, source, answer, many = pair(key[tell], context[tell]), source[tell], least[tell], many[tell]
         back = np.argsort(source, kind="stable")
-        key, source, answer, many = key[back], source[back], answer[back], many[back]
-        cuts = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1], [True]))) if len(source) else []
-        rows += [(blocks[mine[source[a]]], level, write_body(key[a:b], None, answer[a:b], many[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        name, source, answer, many = name[back], source[back], answer[back], many[back]
+        cuts = np.append(heads_of(source), len(source)) if len(source) else []
+        rows += [(blocks[mine[source[a]]], level, write_body(name[a:b], None, answer[a:b], many[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table([pa.array(x, f.type) for x, f in zip(list(zip(*rows)) or [[], [], []], ANSWER)], schema=ANSWER)
 
 
@@ -300,17 +316,19 @@ def remove_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 yield from entries(dealt(block, 1, np.concatenate(keys), np.concatenate(contexts), np.concatenate(docs), key_bits(bits))).to_batches()
 
     def look_closer(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        known, _, many = _known(answers, 1)
+        known, least, many = _known(answers, 1)
         out = []
         if blocks.num_rows and len(known):
             block = blocks.column("block")[0].as_py()
             keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for run in slices(docs_of(blocks)):
                 piece = Slice([t for _, t in run], length, core)
-                hit, place = _look(known, keyed(piece.rank, bits))
-                start, names = piece.strings(hit[many[place] > 0])
+                ids = np.array([k for k, _ in run], np.int64)
+                hit, place = _look(known, pair(keyed(piece.rank, bits), piece.contexts()))
+                first = (many[place] > 0) & (least[place] == ids[piece.owner(piece.at[hit])])
+                start, names = piece.strings(hit[first])  # each context is looked at in one document
                 keys.append(names)
-                docs.append(np.array([k for k, _ in run], np.int64)[piece.owner(start)])
+                docs.append(ids[piece.owner(start)])
             out = dealt(block, 2, np.concatenate(keys), None, np.concatenate(docs), 64 - bits)
             out += [(block % (1 << bits), block, 0, body) for body in answers.column("body").to_pylist()]
         return entries(out)
@@ -323,13 +341,13 @@ def remove_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             piece = Slice([t for _, t in run], length, core)
             ids = np.array([k for k, _ in run], np.int64)
             edge = np.zeros(len(piece.text) + 1, np.int32)
-            hit, place = _look(known, keyed(piece.rank, bits))
-            plain = many[place] == 0
-            gone = hit[plain][least[place[plain]] < ids[piece.owner(piece.at[hit[plain]])]]
+            hit, place = _look(known, pair(keyed(piece.rank, bits), piece.contexts()))
+            earlier = least[place] < ids[piece.owner(piece.at[hit])]
+            gone = hit[earlier]
             np.add.at(edge, piece.first[gone], 1)
             np.add.at(edge, piece.last[gone] + length, -1)
-            start, names = piece.strings(hit[~plain])
-            told, where = _look(strings, names)
+            start, names = piece.strings(hit[~earlier & (many[place] > 0)])
+            told, where = _look(strings, pair(names, np.zeros(len(names), np.uint64)))
             start = start[told][least_of[where] < ids[piece.owner(start[told])]]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + length, -1)
