@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, line_dedup, media, packing, passages, pii, quality, sampled_pieces
+from . import exact_dedup, jaccard_join, line_dedup, media, packing, passages, pii, quality, sampled_pieces
 from .common import documents
 from .token_counts import token_counts
 
@@ -27,6 +27,7 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_passages": passages.op3_passages,
     "op4_media": op4_media,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
