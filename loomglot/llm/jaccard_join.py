@@ -1,19 +1,22 @@
 """Exact Jaccard join of word-shingle sets in metric space.
 
-1. A count sketch of bounded size orders the shingles, rare ones first. Two sets of Jaccard similarity at least t share one of their first
-   ``n (1 - t) / t + 1`` shingles in any common order, so sets meet in groups by these.
+1. Sets meet in groups: two sets within the bound have equal projections on some small part of the shingle space
+   (``shingles.signatures``), and projections are the keys of the groups. No pair within the bound is lost.
 2. The least member of a group is its pivot. All groups of a pivot are its region; a set on a border lies in several regions. Every pair
    within the bound lies together in some region.
-3. Sets at most ``r = 1 - t`` from the pivot link to it, and through it to one another. A small region is joined by one task, pivot
-   after pivot: with a pivot at distance d(x), x and y can link only if d(x) and d(y) differ by at most r (triangle inequality), so each further pivot
-   meets only the sets in its window.
-4. A large region is dealt over many tasks, each with the pivot's text. Only sets that are not linked to the pivot, and linked ones within r of them
-   by distance, go on. Since x and y differ where their differences from the pivot differ, the region's sets meet again in groups by the first
-   shingles of these differences, those rare in the region first. Groups that links have joined already are done; the others form
-   regions once more, which are joined as in 3, a still large one in pairs of parts of bounded size.
-
-Equal sets are one class throughout. Links are verified on the shingles of the texts, never on the sketch; the components of verified links
-are those of all links.
+3. Fixed pivots for all sets are 32 parts of the space. How far a set lies from each (its profile) bounds its distance from any other set
+   by the triangle inequality: the symmetric difference of two sets is at least the sum of the differences of their profiles. Sets
+   outside of the windows of all others leave their region, before any text is read.
+4. A small region is joined by one task, pivot after pivot, on the shingles of the texts: with a pivot at distance d(x), x and y can link
+   only if d(x) and d(y) differ by at most r = 1 - t, so each further pivot meets only the sets in its window.
+5. A large region is dealt over many tasks, each with a pivot's text. Sets at most r from the pivot link to it, and through it to one another.
+   Only sets that are not linked to it, and linked ones within r of them by distance, go on. Since x and y differ where their
+   differences from the pivot differ, they meet again in groups by the first shingles of these differences, those rare in the region
+   first. Groups that links have joined already are done; the others form regions once more, which are joined as in 4, a still large one in
+   pairs of parts of bounded size.
+
+Equal sets are one class throughout. Links are verified on the shingles of the texts; the components of verified links are those of
+all links.
 """
 
 from __future__ import annotations
@@ -30,14 +33,13 @@ from pyspark.sql.window import Window
 from .common import checkpointed, doc_text, documents, kept_in_worker, small_batches
 from .components import components
 from .passages import NULL_ID, docs_of, pack_docs, unpack_docs
-from .shingles import NAME_BITS, TOGETHER, WordNames, mix, set_name, shingle_names, shingle_sets
+from .shingles import CELLS, TOGETHER, WordNames, profiles, set_name, shingle_sets, signatures
 
-CELL_BITS, CELL_CHUNKS = 19, 32
 BLOCK_BYTES, BUCKET_ENTRIES, SMALL_REGION = 2 << 20, 400_000, 256
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
-CELLS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
-MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("profile", pa.binary())])
+NEAR = pa.schema([("p", pa.int64()), ("x", pa.int64())])
 TEXT = pa.schema([("set", pa.int64()), ("body", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("p", pa.int64()), ("x", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_()), ("need", pa.int32()), ("delta", pa.list_(pa.int64()))])
 DOC, GROUP, LINK, LARGE = 0, 1, 0, 1
@@ -64,50 +66,11 @@ def to_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([body], pa.binary())], schema=BLOCK)
 
 
-def sketch(rows: DataFrame, words: int) -> np.ndarray:
-    """The base-2 logarithm of the count of each cell, over the shingles of all texts; 2^19 bytes at any input size."""
-    cells = 1 << CELL_BITS
-    width = cells // CELL_CHUNKS
-
-    def count(batches):
-        counts = np.zeros(cells, np.int64)
-        for batch in small_batches(batches, rows=TOGETHER, byte_budget=1 << 20):
-            h = shingle_names(batch.column(0).to_pylist(), words, _names())[1]
-            counts += np.bincount((h >> np.uint64(NAME_BITS - CELL_BITS)).astype(np.int64), minlength=cells) if len(h) > cells // 8 else 0
-            if len(h) <= cells // 8:
-                np.add.at(counts, (h >> np.uint64(NAME_BITS - CELL_BITS)).astype(np.int64), 1)
-        bodies = [zstandard.ZstdCompressor(level=1).compress(counts[k * width : (k + 1) * width].tobytes()) for k in range(CELL_CHUNKS)]
-        yield from _table(list(enumerate(bodies)), CELLS).to_batches()
-
-    def add(table):
-        total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64) for b in table.column("counts").to_pylist())
-        return _table([(table.column("chunk")[0].as_py(), np.floor(np.log2(total + 1)).astype(np.uint8).tobytes())], CELLS)
-
-    found = rows.select("text").mapInArrow(count, _sql(CELLS)).groupBy("chunk").applyInArrow(add, _sql(CELLS)).collect()  # a fixed number of cells
-    out = np.zeros(cells, np.uint8)
-    for r in found:
-        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
-    return out
-
-
 def prefix_length(n: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
     """How many first shingles of a set of ``n`` must be looked at."""
     return n * (denominator - numerator) // numerator + 1
 
 
-def meeting_points(sets: list[np.ndarray], levels: np.ndarray, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
-    """``owner, key`` of the first shingles of each set, in the order of their level and then of a hash."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    level = levels[(flat >> np.uint64(NAME_BITS - CELL_BITS)).astype(np.int64)].astype(np.uint64)
-    key = mix(flat)
-    order = np.lexsort((key, level, owner))
-    rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = order[rank < prefix_length(sizes, numerator, denominator)[owner]]
-    return owner[first], key[first]
-
-
 def write_meeting(key: np.ndarray, which: np.ndarray, sets: np.ndarray) -> bytes:
     used, which = np.unique(which, return_inverse=True)
     planes = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8).T)
@@ -129,8 +92,11 @@ def meet(table: pa.Table) -> pa.Table:
     out, keys, sets, blocks = [], [], [], []
     for kind, block, body in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "body"))):
         if kind == DOC:
-            rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), "<i8").reshape(-1, 3)
-            out.append(pa.table([pa.array(np.full(len(rows), DOC, np.int32)), *(pa.array(rows[:, k]) for k in range(3))], schema=MET))
+            raw = zstandard.ZstdDecompressor().decompress(body)
+            n = len(raw) // (24 + CELLS)
+            rows, held = np.frombuffer(raw, "<i8", 3 * n).reshape(-1, 3), raw[24 * n :]
+            profile = pa.array([held[CELLS * k : CELLS * (k + 1)] for k in range(n)], pa.binary())
+            out.append(pa.table([pa.array(np.full(n, DOC, np.int32)), *(pa.array(rows[:, k]) for k in range(3)), profile], schema=MET))
         else:
             k, s = read_meeting(body)
             keys.append(k)
@@ -145,7 +111,7 @@ def meet(table: pa.Table) -> pa.Table:
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(np.concatenate((heads, [len(key)])))
         many = np.repeat(n > 1, n)
-        out.append(pa.table([pa.array(np.full(int(many.sum()), GROUP, np.int32)), pa.array(key[many].view(np.int64)), pa.array(which[many]), pa.array(block[many])], schema=MET))
+        out.append(pa.table([pa.array(np.full(int(many.sum()), GROUP, np.int32)), pa.array(key[many].view(np.int64)), pa.array(which[many]), pa.array(block[many]), pa.nulls(int(many.sum()), pa.binary())], schema=MET))
     return pa.concat_tables(out) if out else _table([], MET)
 
 
@@ -211,29 +177,29 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
     bits = max(1, int(max(parts, total // 16 // BUCKET_ENTRIES)).bit_length())
-    levels = spark.sparkContext.broadcast(sketch(rows, words))  # 2^19 bytes
 
     def enter(batches):
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs = unpack_docs(body)
-                out, known, fresh = [], set(), ([], [], [])
+                out, held, known, fresh = [], [], set(), ([], [], [])
                 for k in range(0, len(docs), TOGETHER):
                     part = docs[k : k + TOGETHER]
                     sets = shingle_sets([t.decode() for _, t in part], words, _names())
                     ids = [set_name(s) if len(s) else 0 for s in sets]
                     out += [(d, len(s), i) for (d, _), s, i in zip(part, sets, ids)]
+                    held.append(profiles(sets).tobytes())
                     new = []
                     for place, (s, i) in enumerate(zip(sets, ids)):
                         if len(s) and i not in known:
                             known.add(i)
                             new.append(place)
                     if new:
-                        owner, key = meeting_points([sets[p] for p in new], levels.value, numerator, denominator)
+                        owner, key = signatures([sets[p] for p in new], numerator, denominator)
                         fresh[0].append(key)
                         fresh[1].append(owner + len(fresh[2]))
                         fresh[2].extend(ids[p] for p in new)
-                rows = [(block % (1 << bits), block, DOC, zstandard.ZstdCompressor(level=1).compress(np.array(out, "<i8").tobytes()))]
+                rows = [(block % (1 << bits), block, DOC, zstandard.ZstdCompressor(level=1).compress(np.array(out, "<i8").tobytes() + b"".join(held)))]
                 if fresh[2]:
                     key, which, sets = np.concatenate(fresh[0]), np.concatenate(fresh[1]), np.array(fresh[2], np.int64)
                     order = np.argsort(key, kind="stable")
@@ -248,7 +214,9 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     members = met.filter(F.col("kind") == DOC).select(
         F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("set")
     )
-    groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("g"), F.col("b").alias("x"), F.col("c").alias("block"))
+    groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("g"), F.col("b").alias("x"))
+    homes = met.filter(F.col("kind") == GROUP).groupBy(F.col("b").alias("x")).agg(F.min("c").alias("block"))
+    shapes = met.filter((F.col("kind") == DOC) & (F.col("b") > 0)).groupBy(F.col("c").alias("x")).agg(F.min("b").alias("n"), F.min("profile").alias("profile"))
 
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
         want, out = set(wanted.column("x").to_pylist()), []
@@ -264,24 +232,31 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
                     out.append((name, zstandard.ZstdCompressor(level=1).compress(t)))
         return _table(out, TEXT)
 
-    wanted = groups.groupBy("x").agg(F.min("block").alias("block"))
-    texts = checkpointed(blocks.repartition(parts, "block").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, _sql(TEXT)))
-    groups = groups.select("g", "x")
-
     def sets_of(bodies):
         return shingle_sets([zstandard.ZstdDecompressor().decompress(b).decode() for b in bodies], words, _names())
 
+    def sieve(table: pa.Table) -> pa.Table:
+        """Of two parts of a region (or one with itself), the sets with another in their window."""
+        n, part = table.column("n").to_numpy(), table.column("part").to_numpy()
+        profile = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        one = np.flatnonzero(part == table.column("i")[0].as_py())
+        two = np.flatnonzero(part == table.column("j")[0].as_py())
+        near = np.zeros(len(n), bool)
+        for k in one:
+            apart = np.abs(profile[two] - profile[k]).sum(1, dtype=np.int64)
+            met = two[(apart * (denominator + numerator) <= (n[two] + n[k]) * (denominator - numerator)) & (two != k)]
+            near[met] = True
+            near[k] |= len(met) > 0
+        return pa.table([table.column("p").filter(pa.array(near)), table.column("x").filter(pa.array(near))], schema=NEAR)
+
     def compare(table: pa.Table, pivots: pa.Table) -> pa.Table:
-        """A small region, or one deal of a large one with its pivot."""
+        """One deal of a large region with its pivot."""
         if not table.num_rows or not pivots.num_rows:
             return _table([], FOUND)
         p, names = table.column("p")[0].as_py(), table.column("x").to_pylist()
-        sets = sets_of([pivots.column("head")[0].as_py(), *table.column("text").to_pylist()])
-        if table.column("size")[0].as_py() <= small_region:
-            every = [p, *names]
-            return _table([(LINK, every[a], every[b], 0.0, True, 0, []) for a, b in region_links(sets, numerator, denominator)], FOUND)
-        out, pivot = [], sets[0]
-        for name, s in zip(names, sets[1:]):
+        pivot, *sets = sets_of([pivots.column("head")[0].as_py(), *table.column("text").to_pylist()])
+        out = []
+        for name, s in zip(names, sets):
             delta = np.setxor1d(s, pivot, assume_unique=True)
             inter = (len(s) + len(pivot) - len(delta)) // 2
             is_linked = bool(linked(inter, len(s), len(pivot), numerator, denominator))
@@ -298,22 +273,49 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         return _table([(LINK, names[order[a]], names[order[b]], 0.0, True, 0, []) for a, b in found], FOUND)
 
     def regions(groups: DataFrame) -> DataFrame:
-        """``p, x``: the sets of each region, without its pivot."""
+        """``p, x``: the sets of each region, its pivot too."""
         pivots = groups.groupBy("g").agg(F.min("x").alias("p"), F.count("*").alias("n")).filter("n > 1").select("g", "p")
-        return groups.join(pivots, "g").filter("x != p").select("p", "x").distinct()
-
-    def deals(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("p").agg(F.count("*").alias("size")).withColumn("deals", F.ceil(F.col("size") / small_region).cast("int"))
-
-    edges = checkpointed(regions(groups))
-    sizes = deals(edges)
-    each = edges.join(sizes, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int")).join(texts.withColumnRenamed("set", "x"), "x")
-    each = each.select("p", "salt", "x", "size", F.col("body").alias("text"))
-    heads = sizes.select("p", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt")).join(texts.withColumnRenamed("set", "p"), "p")
-    heads = heads.select(F.col("p").alias("pivot"), F.col("salt").alias("part"), F.col("body").alias("head"))
-    found = checkpointed(each.groupBy("p", "salt").cogroup(heads.groupBy("pivot", "part")).applyInArrow(compare, _sql(FOUND)))
+        return groups.join(pivots, "g").select("p", "x").distinct()
+
+    def in_parts(members: DataFrame) -> DataFrame:
+        """``p, i, j, part, x``: every two parts of a region together, each of at most about ``small_region`` sets."""
+        sizes = members.groupBy("p").agg(F.ceil(F.count("*") / small_region).cast("int").alias("deals"))
+        parts = members.join(sizes, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int"))
+        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+        return parts.select("p", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "x")
+
     pairs = lambda rows: rows.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    links, big = pairs(found), found.filter(F.col("kind") == LARGE)
+    shaped = in_parts(regions(groups)).join(shapes, "x")
+    near = checkpointed(shaped.groupBy("p", "i", "j").applyInArrow(sieve, _sql(NEAR)).distinct())
+    wanted = near.select("x").distinct().join(homes, "x")
+
+    def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
+        want, out = set(wanted.column("x").to_pylist()), []
+        if not want or not table.num_rows:
+            return _table([], TEXT)
+        docs = docs_of(table)
+        for k in range(0, len(docs), TOGETHER):
+            texts = [t for _, t in docs[k : k + TOGETHER]]
+            for t, s in zip(texts, shingle_sets([t.decode() for t in texts], words, _names())):
+                name = set_name(s) if len(s) else 0
+                if len(s) and name in want:
+                    want.discard(name)
+                    out.append((name, zstandard.ZstdCompressor(level=1).compress(t)))
+        return _table(out, TEXT)
+
+    texts = checkpointed(blocks.repartition(parts, "block").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, _sql(TEXT)))
+    texts_of = lambda name: texts.select(F.col("set").alias(name), F.col("body").alias("text"))
+    sizes = near.groupBy("p").agg(F.count("*").alias("size"), F.min("x").alias("pivot"))
+    sized = near.join(sizes, "p")
+    small = sized.filter(F.col("size") <= small_region).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "x", F.col("x").alias("label"))
+    near_links = pairs(small.join(texts_of("x"), "x").groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))
+    large = sized.filter((F.col("size") > small_region) & (F.col("x") != F.col("pivot"))).select(F.col("pivot").alias("p"), "x").distinct()
+    deals = checkpointed(large).groupBy("p").agg(F.ceil(F.count("*") / small_region).cast("int").alias("deals"))
+    each = large.join(deals, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int")).join(texts_of("x"), "x").select("p", "salt", "x", "text")
+    heads = deals.select("p", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt")).join(texts_of("p"), "p")
+    heads = heads.select(F.col("p").alias("pivot"), F.col("salt").alias("deal"), F.col("text").alias("head"))
+    found = checkpointed(each.groupBy("p", "salt").cogroup(heads.groupBy("pivot", "deal")).applyInArrow(compare, _sql(FOUND)))
+    links, big = checkpointed(near_links.unionByName(pairs(found))), found
     nearest = big.filter("not linked").groupBy("p").agg(F.min("d").alias("nearest"))
     going = big.join(nearest, "p").filter(F.col("d") >= F.col("nearest") - F.lit(1 - numerator / denominator + 1e-9))  # the window
     pieces = going.select("p", "x", "need", F.explode("delta").alias("e"))
@@ -327,13 +329,9 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         roots = components(links)
         labelled = again.join(roots, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("root", "x").alias("label"))
         open_groups = labelled.groupBy("g").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("g")
-        edges = checkpointed(regions(again.join(open_groups, "g", "left_semi")))
-        sizes = deals(edges)
-        whole = edges.unionByName(sizes.select("p", F.col("p").alias("x"))).join(sizes, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int"))
-        dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-        dealt = dealt.select("p", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "x")
+        dealt = in_parts(regions(again.join(open_groups, "g", "left_semi")))
         dealt = dealt.join(roots, F.col("x") == F.col("node"), "left").select("p", "i", "j", "part", "x", F.coalesce("root", "x").alias("label"))
-        dealt = dealt.join(texts.select(F.col("set").alias("x"), F.col("body").alias("text")), "x")
+        dealt = dealt.join(texts_of("x"), "x")
         links = checkpointed(links.unionByName(pairs(dealt.groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))))
     return members, links
 

@@ -76,3 +76,54 @@ def shingle_sets(texts: list[str], words: int, names: WordNames) -> list[np.ndar
 def set_name(names: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     return xxhash.xxh3_64_intdigest(names.tobytes()) - (1 << 63)
+
+
+def signatures(sets: list[np.ndarray], numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """``owner, signature`` of every projection of every set that a set within the Jaccard bound may share.
+
+    The shingle space is halved again and again by the bits of the names. If two sets have Jaccard similarity at least t = numerator /
+    denominator in a part of the space, they have so in one of its halves that is not empty for both. In a part where their union is
+    smaller than 1 / (1 - t), that means equal projections; with a larger union each has at least c = ceil(t (m + 1)) elements there, m
+    being the largest union that forces equality. So a projection of 1 to m elements is a signature, and one of c or more is halved;
+    a projection on the border does both. No pair within the bound is lost.
+    """
+    m = -(-denominator // (denominator - numerator)) - 1
+    c = -(-numerator * (m + 1) // denominator)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(mix(flat * STEP), out=sums[1:])
+    end = np.cumsum(sizes)
+    start, owner = end - sizes, np.arange(len(sets))
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for depth in range(NAME_BITS + 1):
+        keep = end > start
+        start, end, owner = start[keep], end[keep], owner[keep]
+        if not len(start):
+            break
+        size = end - start
+        small = size <= m
+        a, b = start[small], end[small]
+        owners.append(owner[small])
+        found.append(mix(mix(sums[b] - sums[a] + np.uint64(depth)) + (flat[a] >> np.uint64(NAME_BITS - depth)) * STEP))
+        more = size >= c
+        start, end, owner = start[more], end[more], owner[more]
+        if not len(start) or depth == NAME_BITS:
+            break
+        ones = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum(flat >> np.uint64(NAME_BITS - 1 - depth) & np.uint64(1), out=ones[1:])
+        middle = end - (ones[end] - ones[start])
+        start, end, owner = np.concatenate((start, middle)), np.concatenate((middle, end)), np.concatenate((owner, owner))
+    return np.concatenate(owners), np.concatenate(found)
+
+
+#: Parts of the shingle space that serve as pivots for all sets.
+CELLS = 32
+
+
+def profiles(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, how many of its shingles lie in each of ``CELLS`` parts of the space, at most 255."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    cell = (mix(flat) >> np.uint64(59)).astype(np.int64) + np.repeat(np.arange(len(sets)), sizes) * CELLS
+    return np.minimum(np.bincount(cell, minlength=len(sets) * CELLS), 255).astype(np.uint8).reshape(len(sets), CELLS)
