@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, documents, small_batches
 
 LENGTH, CORE = 50, 26
-BLOCK_BYTES, SLICE_BYTES, BUCKET_ENTRIES = 2 << 20, 1 << 19, 400_000
+BLOCK_BYTES, SLICE_BYTES, BUCKET_ENTRIES = 2 << 20, 1 << 18, 150_000
 NULL_ID = -(1 << 63)
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -151,26 +151,27 @@ def _unplanes(data: memoryview, n: int, width: int) -> np.ndarray:
 
 
 def write_body(key: np.ndarray, context: np.ndarray | None, doc: np.ndarray, flag: np.ndarray) -> bytes:
-    """Entries as a compressed block: keys (8 bytes), contexts (6 bytes), ids (by a table), flags."""
+    """Entries as a compressed block: steps between keys (8 bytes), contexts (6 bytes), ids (steps in a table, and places), flags."""
     ids, which = np.unique(doc, return_inverse=True)
     head = np.array([len(key), len(ids), context is not None], "<i8").tobytes()
-    parts = [head, ids.astype("<i8").tobytes(), _planes(key, 8), _planes(context, 6) if context is not None else b"", which.astype("<u4").tobytes(), flag.astype(np.uint8).tobytes()]
+    steps = lambda x: _planes(np.diff(x.astype(np.int64).view(np.uint64), prepend=np.uint64(0)), 8)
+    parts = [head, steps(ids), steps(key), _planes(context, 6) if context is not None else b"", _planes(which.astype(np.uint64), 4), flag.astype(np.uint8).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def read_body(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = memoryview(zstandard.ZstdDecompressor().decompress(body))
     n, n_ids, has_context = np.frombuffer(data, "<i8", 3).tolist()
-    ids = np.frombuffer(data, "<i8", n_ids, 24)
+    ids = np.cumsum(_unplanes(data[24:], n_ids, 8)).view(np.int64)
     at = 24 + 8 * n_ids
-    key = _unplanes(data[at:], n, 8)
+    key = np.cumsum(_unplanes(data[at:], n, 8))
     at += 8 * n
     context = np.zeros(n, np.uint64)
     if has_context:
         context = _unplanes(data[at:], n, 6)
         at += 6 * n
-    which = np.frombuffer(data, "<u4", n, at)
-    return key, context, ids[which], np.frombuffer(data, np.uint8, n, at + 4 * n)
+    which = _unplanes(data[at:], n, 4)
+    return key, context, ids[which.astype(np.int64)], np.frombuffer(data, np.uint8, n, at + 4 * n)
 
 
 def pair(key: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -233,7 +234,7 @@ def settle(table: pa.Table) -> pa.Table:
         many = many[of_key]
         tell = shared[of_key] & (many | (least < doc) | (flag > 0))
         name, source, answer, many = pair(key[tell], context[tell]), source[tell], least[tell], many[tell]
-        back = np.argsort(source, kind="stable")
+        back = np.lexsort((name, source))
         name, source, answer, many = name[back], source[back], answer[back], many[back]
         cuts = np.append(heads_of(source), len(source)) if len(source) else []
         rows += [(blocks[mine[source[a]]], level, write_body(name[a:b], None, answer[a:b], many[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
