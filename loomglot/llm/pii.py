@@ -211,14 +211,15 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def with_spans(rows: DataFrame) -> DataFrame:
-    """``rows`` (with a non-null ``text``) and the columns ``base_spans`` and ``all_spans``. One map, no shuffle; rows that no pattern can
-    match skip the work."""
-    spark, may = rows.sparkSession, F.col("text").rlike(MAY_HOLD)
-    base, chosen = span_columns(spark, F.col("text"))
+def with_spans(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` and the columns ``__text`` (null as empty), ``__base`` and ``__all``: the spans of a text. One map, no shuffle; rows that no
+    pattern can match skip the work."""
+    spark, own = rows.sparkSession, F.col("__text")
+    may = own.rlike(MAY_HOLD)
+    base, chosen = span_columns(spark, own)
     empty = F.expr("cast(array() as array<struct<s:int,rank:int,e:int,kind:string>>)")
-    out = rows.withColumn("base_spans", F.when(may, base).otherwise(empty)).withColumn("chosen", F.when(may, chosen).otherwise(empty))
-    return out.withColumn("all_spans", F.when(F.size("chosen") > 0, add_disjoint(F.col("base_spans"), F.col("chosen"))).otherwise(F.col("base_spans"))).drop("chosen")
+    out = rows.withColumn("__text", F.coalesce(text, F.lit(""))).withColumn("__base", F.when(may, base).otherwise(empty)).withColumn("__chosen", F.when(may, chosen).otherwise(empty))
+    return out.withColumn("__all", F.when(F.size("__chosen") > 0, add_disjoint(F.col("__base"), F.col("__chosen"))).otherwise(F.col("__base"))).drop("__chosen")
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,26 +229,24 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ``secret``), each as kind:start:end. Null text counts as empty: no spans, the hash of an empty string.
     Null ids and repeated rows stay as they are; an empty table gives no rows; other columns are ignored.
     """
-    rows = with_spans(doc_text(df, id_col, text_col))
-    count = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("bigint")
-    return rows.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"))
+    rows = with_spans(doc_text(df, id_col, text_col), F.col("text"))
+    count = lambda kind: F.size(F.filter("__base", lambda x: x["kind"] == kind)).cast("bigint")
+    return rows.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__all")).alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span of ``text_col`` replaced by its kind in brackets; overlapping spans become one, named by the
     first. Rows, other columns and null texts stay."""
-    name = "__redacted_text"
-    rows = with_spans(df.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("text")) if text_col != "text" else df.withColumn(name, F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
-    raise_null = F.col(name).isNull() if text_col == "text" else F.col(text_col).isNull()
+    rows = with_spans(df, F.col(text_col))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc, x):
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        piece = F.concat(F.substring(F.col("__text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
 
-    tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    clean = F.when(F.size("all_spans") > 0, F.aggregate("all_spans", start, step, tail)).otherwise(F.col("text"))
-    return rows.withColumn(text_col, F.when(raise_null, F.lit(None).cast("string")).otherwise(clean)).select(df.columns)
+    tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.char_length("__text")))
+    clean = F.when(F.size("__all") > 0, F.aggregate("__all", start, step, tail)).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, clean).select(df.columns)
 
 
 def op9_pii(spark, sf_dir):
