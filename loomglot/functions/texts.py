@@ -70,3 +70,14 @@ def reply_field(reply: Column, field: str) -> Column:
     """A field of a JSON reply that may stand in a fenced block."""
     body = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     return F.get_json_object(F.when(body != "", body).otherwise(reply), f"$.{field}")
+
+
+def value_text(kind: Column, text: Column, forms: Column) -> Column:
+    """A value on one line: a text as it is, plural forms in order, nothing for an empty one."""
+    return F.when(kind == "plural", forms_text(forms)).when(kind == "singular", text).otherwise("")
+
+
+def provenance(custom: Column, prefix: str) -> Column:
+    """The provenance keys of a ``custom`` map, without their prefix."""
+    held = F.map_filter(custom, lambda k, _: F.startswith(k, F.lit(prefix)))
+    return F.transform_keys(held, lambda k, _: F.substring(k, len(prefix) + 1, 1 << 20))

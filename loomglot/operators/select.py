@@ -105,3 +105,20 @@ def latest(entries: DataFrame, *keys: str | Column, newest: bool = True) -> Data
     """One entry for each combination of ``keys``: the last in input order, or the first."""
     order = [F.col(c).desc() if newest else F.col(c) for c in INPUT_ORDER]
     return entries.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def single_language(resources: DataFrame, language: str | None = None) -> str:
+    """The one language to write where a format holds one; none or several to choose from is an error."""
+    rows = resources if language is None else resources.filter(L.matches(F.col("language"), F.lit(language)))
+    names = [r["language"] for r in rows.select("language").distinct().limit(2).collect()]
+    if len(names) != 1:
+        raise CatalogError("single_language", "no language matches" if not names else "several languages match; name one")
+    return names[0]
+
+
+def fill_metadata(resources: DataFrame, source_language: str, version: str = "1.0") -> DataFrame:
+    """Resources that lack a source language or version get them."""
+    own = F.coalesce("custom", F.create_map().cast("map<string,string>"))
+    default = F.create_map(F.lit("source_language"), F.lit(source_language), F.lit("version"), F.lit(version))
+    lacking = F.map_filter(default, lambda k, _: ~F.map_contains_key(own, k))
+    return resources.withColumn("custom", F.map_concat(own, lacking))

@@ -100,10 +100,17 @@ def expand(patterns: list[str]) -> list[str]:
     """Paths for patterns, each once, sorted within a pattern; a pattern that matches nothing stays as it is."""
     out: list[str] = []
     for pattern in patterns:
-        out += sorted(glob.glob(pattern, recursive=True)) or [pattern]
+        found = {p for one in _alternatives(pattern) for p in glob.glob(one, recursive=True)}
+        out += sorted(found) or [pattern]
     return list(dict.fromkeys(out))
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """``a{b,c}`` as ``ab`` and ``ac``."""
+    m = re.search(r"\{([^{}]*)\}", pattern)
+    return [pattern] if not m else [x for part in m[1].split(",") for x in _alternatives(pattern[: m.start()] + part + pattern[m.end() :])]
+
+
 def parse_file(path: str, content: bytes, format: str | None = None, language: str | None = None, strict: bool = False) -> list[Resource]:
     """Resources of a file. A format of one language takes it from ``language``, then the path, then the file; strict: one of the first two."""
     format = named_format(format) if format else format_of(path, content)
