@@ -6,10 +6,8 @@ import duckdb
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -34,20 +32,9 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def duck():
+    from helpers import DATA, TABLES
+
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
-
-
-def normal(rows, columns):
-    """Rows as comparable text, with columns in the order of their names."""
-    order = sorted(range(len(columns)), key=lambda k: columns[k])
-    show = lambda v: "NULL" if v is None else repr(round(v, 6)) if isinstance(v, float) else str(v)
-    return sorted(tuple(show(r[k]) for k in order) for r in rows)
-
-
-def same_as_sql(duck, df, sql):
-    got = duck.sql(sql)
-    assert sorted(df.columns) == sorted(got.columns)
-    assert normal([tuple(r) for r in df.collect()], df.columns) == normal(got.fetchall(), got.columns)

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import DATA, same_as_sql
+from helpers import DATA, same_as_sql
 from loomglot.plans.queries import ORACLE_SQL, QUERIES
 
 
