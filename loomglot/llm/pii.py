@@ -158,9 +158,17 @@ def examples(seed: int = 7, n: int = 900) -> list[tuple[str, int, int]]:
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def _model(session_key: str, seed: int):
-    spark = SparkSession.getActiveSession()
+_MODELS: dict[int, tuple] = {}
+
+
+def model(spark: SparkSession, seed: int = 7) -> tuple:
+    """Base log-odds, trees and calibrated threshold; the same for every session and input, and fitted once a process."""
+    if seed not in _MODELS:
+        _MODELS[seed] = _fit(spark, seed)
+    return _MODELS[seed]
+
+
+def _fit(spark: SparkSession, seed: int) -> tuple:
     rows = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(k).alias("k")) for k, (t, s, e) in enumerate(examples(seed))))
     frame = spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
     frame = frame.select("k", "s", "e", F.explode(candidates(F.col("text"))).alias("c"))
@@ -178,11 +186,6 @@ def _model(session_key: str, seed: int):
     return base, tuple(grown), threshold
 
 
-def model(spark: SparkSession, seed: int = 7):
-    """Base log-odds, trees and calibrated threshold; the same for every session and input."""
-    return _model(spark.sparkContext.applicationId, seed)
-
-
 def span_columns(spark: SparkSession, text: Column) -> tuple[Column, Column]:
     """Base spans, and all spans (base ones and the selected proposals that overlap neither these nor each other), as
     ``array<struct<s, rank, e, kind>>`` by start."""
