@@ -17,12 +17,21 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns)
 
 
+def tell_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver does, also when the driver found it by ``sys.path`` alone."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def doc_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns ``doc_id bigint, text string``; a null text counts as empty.
 
     Everything else is dropped first, so extra or clashing columns of the input cannot collide with
     columns an operator adds.
     """
+    tell_workers(df.sparkSession)
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
