@@ -35,7 +35,9 @@ from .components import components
 from .passages import NULL_ID, docs_of, pack_docs, unpack_docs
 from .shingles import CELLS, TOGETHER, WordNames, profiles, set_name, shingle_sets, signatures
 
-BLOCK_BYTES, BUCKET_ENTRIES, SMALL_REGION = 2 << 20, 400_000, 256
+BLOCK_BYTES, BUCKET_ENTRIES, SMALL_REGION = 2 << 20, 400_000, 512
+#: Sets of a region whose profiles one task compares.
+SIEVE_PART = 1024
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("profile", pa.binary())])
@@ -73,8 +75,9 @@ def prefix_length(n: np.ndarray, numerator: int, denominator: int) -> np.ndarray
 
 def write_meeting(key: np.ndarray, which: np.ndarray, sets: np.ndarray) -> bytes:
     used, which = np.unique(which, return_inverse=True)
-    planes = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    body = np.array([len(key), len(used)], "<i8").tobytes() + sets[used].astype("<i8").tobytes() + planes.tobytes() + which.astype("<u4").tobytes()
+    planes = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    steps = np.diff(key, prepend=np.uint64(0))  # keys ascend
+    body = np.array([len(key), len(used)], "<i8").tobytes() + sets[used].astype("<i8").tobytes() + planes(steps).tobytes() + planes(which)[:4].tobytes()
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -83,12 +86,13 @@ def read_meeting(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, used = np.frombuffer(data, "<i8", 2).tolist()
     sets = np.frombuffer(data, "<i8", used, 16)
     at = 16 + 8 * used
-    key = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
-    return key, sets[np.frombuffer(data, "<u4", n, at + 8 * n)]
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+    which = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint64), sets[which]
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """One bucket of keys: the groups of two sets and more. Rows of documents pass through."""
+    """One bucket of keys: ``pivot, set, block`` for the sets of every group of two and more, each pair once. Rows of documents pass through."""
     out, keys, sets, blocks = [], [], [], []
     for kind, block, body in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "body"))):
         if kind == DOC:
@@ -111,7 +115,13 @@ def meet(table: pa.Table) -> pa.Table:
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(np.concatenate((heads, [len(key)])))
         many = np.repeat(n > 1, n)
-        out.append(pa.table([pa.array(np.full(int(many.sum()), GROUP, np.int32)), pa.array(key[many].view(np.int64)), pa.array(which[many]), pa.array(block[many]), pa.nulls(int(many.sum()), pa.binary())], schema=MET))
+        pivot, which, block = np.repeat(which[heads], n)[many], which[many], block[many]  # sets ascend within a key
+        order = np.lexsort((which, pivot))
+        pivot, which, block = pivot[order], which[order], block[order]
+        new = np.ones(len(pivot), bool)
+        new[1:] = (pivot[1:] != pivot[:-1]) | (which[1:] != which[:-1])
+        k = int(new.sum())
+        out.append(pa.table([pa.array(np.full(k, GROUP, np.int32)), pa.array(pivot[new]), pa.array(which[new]), pa.array(block[new]), pa.nulls(k, pa.binary())], schema=MET))
     return pa.concat_tables(out) if out else _table([], MET)
 
 
@@ -214,7 +224,7 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     members = met.filter(F.col("kind") == DOC).select(
         F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("set")
     )
-    groups = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("g"), F.col("b").alias("x"))
+    together = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("p"), F.col("b").alias("x")).distinct()
     homes = met.filter(F.col("kind") == GROUP).groupBy(F.col("b").alias("x")).agg(F.min("c").alias("block"))
     shapes = met.filter((F.col("kind") == DOC) & (F.col("b") > 0)).groupBy(F.col("c").alias("x")).agg(F.min("b").alias("n"), F.min("profile").alias("profile"))
 
@@ -277,15 +287,15 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         pivots = groups.groupBy("g").agg(F.min("x").alias("p"), F.count("*").alias("n")).filter("n > 1").select("g", "p")
         return groups.join(pivots, "g").select("p", "x").distinct()
 
-    def in_parts(members: DataFrame) -> DataFrame:
-        """``p, i, j, part, x``: every two parts of a region together, each of at most about ``small_region`` sets."""
-        sizes = members.groupBy("p").agg(F.ceil(F.count("*") / small_region).cast("int").alias("deals"))
+    def in_parts(members: DataFrame, part: int) -> DataFrame:
+        """``p, i, j, part, x``: every two parts of a region together, each of about ``part`` sets."""
+        sizes = members.groupBy("p").agg(F.ceil(F.count("*") / part).cast("int").alias("deals"))
         parts = members.join(sizes, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int"))
         parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
         return parts.select("p", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "x")
 
     pairs = lambda rows: rows.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    shaped = in_parts(regions(groups)).join(shapes, "x")
+    shaped = in_parts(together, SIEVE_PART).join(shapes, "x")
     near = checkpointed(shaped.groupBy("p", "i", "j").applyInArrow(sieve, _sql(NEAR)).distinct())
     wanted = near.select("x").distinct().join(homes, "x")
 
@@ -318,18 +328,18 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     links, big = checkpointed(near_links.unionByName(pairs(found))), found
     nearest = big.filter("not linked").groupBy("p").agg(F.min("d").alias("nearest"))
     going = big.join(nearest, "p").filter(F.col("d") >= F.col("nearest") - F.lit(1 - numerator / denominator + 1e-9))  # the window
-    pieces = going.select("p", "x", "need", F.explode("delta").alias("e"))
-    common = pieces.groupBy("p", "e").agg(F.count("*").alias("n")).filter("n > 1")
+    pieces = going.select("p", "x", "need", F.size("delta").alias("all"), F.explode("delta").alias("e"))
     # Elements of one set alone come first in its order and meet nothing; the rest of the prefix is what they leave.
-    alone = pieces.groupBy("p", "x").agg(F.count("*").alias("all"), F.first("need").alias("its_need"))
-    shared = pieces.join(common, ["p", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("p", "x").orderBy("n", "e"))).withColumn("some", F.count("*").over(Window.partitionBy("p", "x")))
-    first = shared.join(alone, ["p", "x"]).filter(F.col("rank") + F.col("all") - F.col("some") <= F.col("its_need"))
+    shared = pieces.withColumn("n", F.count("*").over(Window.partitionBy("p", "e"))).filter("n > 1")
+    own = Window.partitionBy("p", "x")
+    shared = shared.withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("some", F.count("*").over(own))
+    first = shared.filter(F.col("rank") + F.col("all") - F.col("some") <= F.col("need"))
     again = checkpointed(first.select(F.xxhash64("p", "e").alias("g"), "x"))
     if not again.isEmpty():
         roots = components(links)
         labelled = again.join(roots, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("root", "x").alias("label"))
         open_groups = labelled.groupBy("g").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("g")
-        dealt = in_parts(regions(again.join(open_groups, "g", "left_semi")))
+        dealt = in_parts(regions(again.join(open_groups, "g", "left_semi")), small_region)
         dealt = dealt.join(roots, F.col("x") == F.col("node"), "left").select("p", "i", "j", "part", "x", F.coalesce("root", "x").alias("label"))
         dealt = dealt.join(texts_of("x"), "x")
         links = checkpointed(links.unionByName(pairs(dealt.groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))))
