@@ -1,7 +1,10 @@
 """Site-relative line de-duplication.
 
 For each host, a line's ratio is the number of the host's pages that contain it over all pages of the host. Lines whose ratio
-exceeds the limit are boilerplate of that host and are dropped from its pages.
+exceeds the limit are boilerplate of that host and are dropped from its pages, if at least ``LEAST_PAGES`` pages have them. On hosts of
+fewer than ``(LEAST_PAGES - 1) / RATIO`` pages (200) this floor asks for more than the ratio: nothing goes from a host of 4 pages, and a line has
+to be on half of 10 pages, on a tenth of 50, on a twentieth of 100. With ``least_pages=2`` the ratio decides about every line that is on two pages; on
+a host of under ``2 / RATIO`` pages (100) it drops whatever two of them share.
 
 A host has fewer than ``lines per page / ratio`` boilerplate lines, so they fit into one array per host. Their number is
 checked: a small list is broadcast and texts do not move; beyond that the texts are joined with it by (host, salt), so a host
@@ -38,7 +41,8 @@ def boilerplate(rows: DataFrame, ratio: float, least_pages: int) -> DataFrame:
 def drop_boilerplate(df: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``df`` with the boilerplate lines of its host taken out of ``text_col``, and the counts ``lines_before`` and ``lines_dropped``.
 
-    Lines end at ``\\n`` and are compared as they are; blank lines are never dropped. Every row is a page, repeated rows and
+    A line goes if more than ``ratio`` of its host's pages and at least ``least_pages`` of them have it. Lines end at ``\\n`` and are
+    compared as they are; blank lines are never dropped. Every row is a page, repeated rows and
     empty texts too; null hosts form one host; a null text counts as empty (no line) and stays null. Columns of ``df`` that are named
     like the two counts are replaced. An empty table gives no rows.
     """

@@ -188,3 +188,17 @@ def test_line_dedup_brute(spark):
             lines = [x for x in text.split("\n") if x != "nav"]
             assert got[k] == ("\n".join(lines), len(text.split("\n")), 2)
     assert got[10] == ("nav\nnav", 2, 0) and got[11] == (None, 0, 0) and got[12] == ("nav", 1, 0)
+
+
+def test_line_dedup_floor_on_small_hosts(spark):
+    """The floor of five pages keeps what is over the ratio on a small host; without it the ratio alone decides."""
+    on = lambda k: [f"on {n}" for n in (2, 4, 5) if k < n]
+    rows = [(k, "\n".join([f"only {k}", *on(k)]), "ten") for k in range(10)] + [(100 + k, f"only {k}\nall", "four") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lines = lambda out: {r["doc_id"]: r["text"].split("\n") for r in out.collect()}
+    floor, ratio = lines(line_dedup.drop_boilerplate(df)), lines(line_dedup.drop_boilerplate(df, least_pages=2))
+    for k in range(10):
+        assert floor[k] == [f"only {k}", *(x for x in on(k) if x != "on 5")]  # half of the pages, where 2 % is the ratio
+        assert ratio[k] == [f"only {k}"]
+    for k in range(4):
+        assert floor[100 + k] == [f"only {k}", "all"] and ratio[100 + k] == [f"only {k}"]
