@@ -37,7 +37,8 @@ NULL_ID = -(1 << 63)
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 MANY_DOCS = 1
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(SPAN))])
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("body", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("body", pa.binary())])
@@ -281,10 +282,10 @@ def _look(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hit, place[hit]
 
 
-def remove_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+def cut_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row ``doc_id, kept, spans``: the bytes that stay, and the removed ones as ``(start, end)`` in the input's bytes, ascending and apart.
 
-    Texts are UTF-8 bytes, null counts as empty; strings never cross rows. A byte is removed if a ``length``-byte string over it
+    A span can begin or end within a character, so ``kept`` is binary. Texts are UTF-8 bytes, null counts as empty; strings never cross rows. A byte is removed if a ``length``-byte string over it
     also starts in a row with a smaller id; rows of one id don't remove from one another, and a null id is smaller
     than every other. Strings are judged on the input. Texts shorter than ``length`` stay whole. An empty table gives no
     rows; other columns are ignored. Strings are known by 64-bit names.
@@ -355,18 +356,28 @@ def remove_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             removed = np.cumsum(edge[:-1]) > 0
             for (k, text), a, b in zip(run, piece.starts.tolist(), piece.ends.tolist()):
                 bad = removed[a:b]
-                n = int(bad.sum())
-                spans = int(bad[:1].sum() + (bad[1:] & ~bad[:-1]).sum()) if n else 0
-                kept = text if not n else piece.text[a:b][~bad].tobytes()
-                out.append((None if k == NULL_ID else k, b - a, n, spans, hashlib.sha256(kept).hexdigest()))
-        return pa.table([pa.array(x, f.type) for x, f in zip(list(zip(*out)) or [[]] * 5, OUT)], schema=OUT)
+                edges = np.flatnonzero(np.diff(bad, prepend=False, append=False))
+                kept = text if not len(edges) else piece.text[a:b][~bad].tobytes()
+                out.append((None if k == NULL_ID else k, kept, edges))
+        docs, kept, edges = list(zip(*out)) or [[]] * 3
+        bounds = np.concatenate((np.zeros(1, np.int64), *edges))[1:]
+        spans = pa.StructArray.from_arrays([bounds[::2], bounds[1::2]], fields=list(SPAN))
+        offsets = np.cumsum([0, *(len(e) // 2 for e in edges)]).astype(np.int32)
+        return pa.table([pa.array(docs, pa.int64()), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(offsets, spans)], schema=OUT)
 
     blocks = rows.mapInArrow(to_blocks, "block bigint, docs binary").repartition(parts, "block")
     entry, answer = "bucket bigint, block bigint, level int, body binary", "block bigint, level int, body binary"
     first = blocks.mapInArrow(sample, entry).groupBy("bucket").applyInArrow(settle, answer)
     closer = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(look_closer, entry)
     second = closer.groupBy("bucket").applyInArrow(settle, answer)
-    return blocks.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return blocks.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(cut, "doc_id bigint, kept binary, spans array<struct<start:bigint,end:bigint>>")
+
+
+def remove_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``cut_passages`` in digest: per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["start"])
+    out = cut_passages(df, length, id_col, text_col).withColumn("n_removed", n_removed)
+    return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_passages(spark, sf_dir):

@@ -138,6 +138,22 @@ def test_passages_query(spark, texts):
     assert as_rows(queries.QUERIES["op3_passages"](spark, DATA)) == brute_passages(texts)
 
 
+def test_passages_give_texts_and_spans(spark):
+    shared = "é" + "repeated words of one passage, " * 3
+    rows = [(1, "ab" + shared + "cd"), (2, shared + "own" + shared), (3, "©" + shared[1:] + "é"), (4, "alone"), (None, None)]
+    out = passages.cut_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    got = {r["doc_id"]: (bytes(r["kept"]), [tuple(s) for s in r["spans"]]) for r in out.collect()}
+    text = {k: (t or "").encode() for k, t in rows}
+    n = len(shared.encode())
+    assert got[2] == (b"own", [(0, n), (n + 3, 2 * n + 3)])
+    # The letters share their last byte, so the span begins within a character.
+    assert got[3] == (b"\xc2" + "é".encode(), [(1, n)])
+    assert [got[k] for k in (1, 4, None)] == [(text[k], []) for k in (1, 4, None)]
+    for k, (kept, spans) in got.items():
+        gone = {i for a, b in spans for i in range(a, b)}
+        assert kept == bytes(c for i, c in enumerate(text[k]) if i not in gone)
+
+
 def brute_exact(rows):
     groups = collections.defaultdict(list)
     for k, t in rows:
