@@ -49,8 +49,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: pieces of documents in windows of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Packing: pieces of documents in windows of 2048 tokens, with their token ids."""
+    return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -34,8 +34,8 @@ MEMO_LIMIT = 600_000
 PLAIN_WORD = re.compile(rb"[!-~]+").fullmatch
 #: Fixed value: the vocabulary's split pattern, over lower-case ASCII.
 PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-SCHEMA = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-SQL_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+SCHEMA = pa.schema([(c, pa.list_(pa.int32()) if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+SQL_SCHEMA = "doc_id bigint, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordIds(Memo):
@@ -123,8 +123,7 @@ def best_cuts(marks: list[int], penalties: list[int], size: int) -> list[int]:
 def pack_block(doc_ids: list, encoded: list[bytes], closes: np.ndarray, size: int, first_sequence: int) -> tuple[pa.RecordBatch, int]:
     """Pieces of one run of documents, and the number of sequences made. Every document has at least its end token."""
     lengths = np.array([len(e) // 4 for e in encoded], np.int64)
-    stream = b"".join(encoded)
-    ids = np.frombuffer(stream, "<u4")
+    ids = np.frombuffer(b"".join(encoded), "<i4")
     doc_ends = np.cumsum(lengths)
     marks, penalties = cut_candidates(ids, doc_ends, closes)
     cuts = np.array(best_cuts(marks.tolist(), penalties.tolist(), size), np.int64)
@@ -134,17 +133,19 @@ def pack_block(doc_ids: list, encoded: list[bytes], closes: np.ndarray, size: in
     sequence = np.searchsorted(cuts, starts, side="right")
     window_start = np.concatenate(([0], cuts[:-1]))[sequence]
     doc_start = doc_ends[doc] - lengths[doc]
-    view = memoryview(stream)
-    crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
     owners = pa.array(doc_ids, pa.int64()).take(pa.array(doc))
-    batch = record_batch(SCHEMA, [owners, starts - doc_start, ends - starts, crcs, lengths[doc], first_sequence + sequence, starts - window_start])
+    pieces = pa.ListArray.from_arrays(np.append(starts, ends[-1]).astype(np.int32), ids)
+    view = memoryview(ids).cast("B")
+    crcs = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+    batch = record_batch(SCHEMA, [owners, starts - doc_start, ends - starts, pieces, crcs, lengths[doc], first_sequence + sequence, starts - window_start])
     return batch, len(cuts)
 
 
-def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` in sequences of at most ``size`` tokens.
+def pack_tokens(df: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces ``doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset`` in sequences of at most ``size`` tokens.
 
-    A document's ids are those of the tokenizer without special tokens, then id 1; a null or empty text is that id
+    ``ids`` are the token ids of the piece, and the checksum is of them as little-endian 32-bit numbers; a sequence is the ids of its pieces by
+    ``offset``. A document's ids are those of the tokenizer without special tokens, then id 1; a null or empty text is that id
     alone. Every id lies in exactly one piece, offsets are gapless from 0 in each sequence, documents keep their id order within a
     range and no sequence crosses a range. ``sequence_id`` is unique, not dense. Null ids form one document each and
     stand first; rows repeated under one id are separate documents of that id. An empty table gives no rows; other
@@ -175,3 +176,8 @@ def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "do
 
     ordered = doc_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, SQL_SCHEMA)
+
+
+def pack(df: DataFrame, tokenizer_path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pack_tokens`` without the ids, which are made and given to Spark all the same."""
+    return pack_tokens(df, tokenizer_path, size, id_col, text_col).drop("ids")

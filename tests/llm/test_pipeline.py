@@ -75,3 +75,11 @@ def test_awkward_rows(spark, edge):
     empty = edge.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_the_end_has_the_token_ids(spark, edge):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {}
+    for r in sorted(dict(corpus_pipeline.STAGES)["packing"](spark, edge.filter("doc_id in (0, 4, 8, 10)"), DATA).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        ids[r["doc_id"]] = ids.get(r["doc_id"], []) + r["ids"]
+    assert ids == {k: [*library.encode(t, add_special_tokens=False).ids, 1] for k, t in ROWS if k in (0, 4, 8, 10)}

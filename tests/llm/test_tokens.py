@@ -71,6 +71,24 @@ def test_packing_covers_every_id(edge, documents, texts):
     assert packing.pack(edge.limit(0), WORD).count() == 0
 
 
+def test_packing_gives_the_ids(spark, edge):
+    library = Tokenizer.from_file(WORD)
+    want = collections.Counter((k, *library.encode(t or "", add_special_tokens=False).ids, 1) for k, t in ROWS)
+    pieces = packing.pack_tokens(edge, WORD).collect()
+    found, sequences, whole = collections.Counter(), collections.defaultdict(list), []
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        sequences[p["sequence_id"]] += p["ids"]
+        whole = p["ids"] if p["start"] == 0 else whole + p["ids"]
+        assert len(p["ids"]) == p["length"] and len(sequences[p["sequence_id"]]) == p["offset"] + p["length"]
+        if len(whole) == p["doc_tokens"]:
+            found[(p["doc_id"], *whole)] += 1
+    assert found == want and max(map(len, sequences.values())) <= 2048
+    assert packing.pack_tokens(edge.limit(0), WORD).count() == 0
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    others = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
+    assert sorted((str([p[c] for c in others]), crc(p["ids"])) for p in pieces) == sorted((str([p[c] for c in others]), p["ids_crc32"]) for p in packing.pack(edge, WORD).collect())
+
+
 def test_cuts_are_best():
     rnd = random.Random(5)
     size = 512
