@@ -1,4 +1,6 @@
-"""Removal of passages that an earlier document holds, by blockwise suffix sorting over a cover sample.
+"""Removal of passages that an earlier document holds, by joining fingerprints of a cover sample of suffixes.
+
+Suffixes are grouped by 64-bit names and never put in their order; names are not checked against bytes.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. Two suffixes that agree on
 ``length`` bytes are told apart, or found tied, by a sample of suffixes that covers them: in every ``length``-byte string the sample holds
