@@ -1,14 +1,15 @@
 """Site-relative line de-duplication.
 
 For each host, a line's ratio is the number of the host's pages that contain it over all pages of the host. Lines whose ratio
-exceeds the limit are boilerplate of that host and are dropped from its pages, if at least ``LEAST_PAGES`` pages have them. On hosts of
-fewer than ``(LEAST_PAGES - 1) / RATIO`` pages (200) this floor asks for more than the ratio: nothing goes from a host of 4 pages, and a line has
-to be on half of 10 pages, on a tenth of 50, on a twentieth of 100. With ``least_pages=2`` the ratio decides about every line that is on two pages; on
-a host of under ``2 / RATIO`` pages (100) it drops whatever two of them share.
+exceeds the limit are boilerplate of that host and are dropped from its pages. The ratio alone decides about every repeated line; a line of one page is not
+repeated, however small its host is (``LEAST_PAGES`` = 2).
 
-A host has fewer than ``lines per page / ratio`` boilerplate lines, so they fit into one array per host. Their number is
+Pages are counted by a 64-bit hash of the line first, which never counts too few; the lines found are then counted again by their texts, so that a
+hash that two lines share drops neither.
+
+A host has fewer than ``lines per page / ratio`` boilerplate lines, so they fit into one array per host. Their number and size are
 checked: a small list is broadcast and texts do not move; beyond that the texts are joined with it by (host, salt), so a host
-with a third of all pages spreads over many tasks. Lines are known by a 64-bit hash, and pages count each line once.
+with a third of all pages spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-RATIO, LEAST_PAGES = 0.02, 5
-BROADCAST_LINES, SALTS = 20_000, 64
+RATIO, LEAST_PAGES = 0.02, 2
+BROADCAST_LINES, BROADCAST_BYTES, SALTS = 20_000, 16 << 20, 64
 
 
 def lines_of(text: Column) -> Column:
@@ -30,36 +31,57 @@ def blank(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(" \t\r\x0b\x0c"))) == 0
 
 
-def boilerplate(rows: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """``host, line`` (hash) of lines in more than ``ratio`` of the host's pages and in at least ``least_pages``."""
-    hashes = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: ~blank(x)), lambda x: F.xxhash64(x)))
-    counts = rows.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(pages, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages")).select("host", "line")
+def small(found: DataFrame, column: str, most: int) -> bool:
+    """Whether a list of lines (or hashes) may be broadcast, by its number and bytes."""
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= most and size["bytes"] <= BROADCAST_BYTES
+
+
+def with_list(rows: DataFrame, found: DataFrame, column: str, broadcast_lines: int) -> DataFrame:
+    """``rows`` (with ``__key``, the host, and ``__own``, what their salt is made of) and the host's list ``__lines``, null if it has none."""
+    per_host = found.groupBy("host").agg(F.collect_list(column).alias("__lines")).withColumnRenamed("host", "__host")
+    if small(found, column, broadcast_lines):
+        return rows.join(F.broadcast(per_host), F.col("__key") == F.col("__host"), "left")
+    salted = per_host.withColumn("__its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__own"), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__its_salt")), "left")
+
+
+def boilerplate(rows: DataFrame, ratio: float, least_pages: int, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """``host, line`` of lines in more than ``ratio`` of the pages of ``host`` and on at least ``least_pages``."""
+    lines = F.filter(lines_of(F.col("text")), lambda x: ~blank(x))
+    pages = checkpointed(rows.groupBy("host").agg(F.count("*").alias("pages")))
+
+    def often(counts):
+        counts = counts.filter(F.col("n") >= least_pages)
+        return counts.join(pages, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
+
+    hashes = rows.select("host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("line"))
+    found = checkpointed(often(hashes.groupBy("host", "line").agg(F.count("*").alias("n"))).select("host", "line"))
+    own = with_list(rows.select(F.col("host").alias("__key"), F.col("text").alias("__own")), found, "line", broadcast_lines).filter(F.col("__lines").isNotNull())
+    own = own.select("__key", "__lines", F.array_distinct(F.filter(lines_of(F.col("__own")), lambda x: ~blank(x))).alias("its"))
+    own = own.withColumn("hits", F.array_intersect(F.transform("its", lambda x: F.xxhash64(x)), "__lines")).filter(F.size("hits") > 0)
+    texts = own.select(F.col("__key").alias("host"), F.explode(F.filter("its", lambda x: F.array_contains(F.col("hits"), F.xxhash64(x)))).alias("line"))
+    return often(texts.groupBy("host", "line").agg(F.count("*").alias("n"))).select("host", "line")
 
 
 def drop_boilerplate(df: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``df`` with the boilerplate lines of its host taken out of ``text_col``, and the counts ``lines_before`` and ``lines_dropped``.
 
-    A line goes if more than ``ratio`` of its host's pages and at least ``least_pages`` of them have it. Lines end at ``\\n`` and are
-    compared as they are; blank lines are never dropped. Every row is a page, repeated rows and
-    empty texts too; null hosts form one host; a null text counts as empty (no line) and stays null. Columns of ``df`` that are named
-    like the two counts are replaced. An empty table gives no rows.
+    A line goes if more than ``ratio`` of its host's pages and at least ``least_pages`` of them have it; at the ratio itself it stays. Lines end at
+    ``\\n`` and are compared as they are; blank lines are never dropped. Every row is a page, repeated rows and
+    empty texts too; null hosts form one host; a null text counts as empty (no line) and stays null. A very long text is one row of work for a task.
+    Columns of ``df`` that are named like the two counts are replaced. An empty table gives no rows.
     """
     names = [c for c in df.columns if c not in ("lines_before", "lines_dropped")]
     keys = df.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = checkpointed(boilerplate(keys, ratio, least_pages))
-    per_host = found.groupBy("host").agg(F.collect_set("line").alias("__lines")).withColumnRenamed("host", "__host")
-    rows = df.select(*names).withColumn("__key", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    if len(found.take(broadcast_lines + 1)) <= broadcast_lines:
-        joined = rows.join(F.broadcast(per_host), F.col("__key") == F.col("__host"), "left")
-    else:
-        salted = per_host.withColumn("__its_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, (F.col("__key") == F.col("__host")) & (F.col("__salt") == F.col("__its_salt")), "left")
+    found = checkpointed(boilerplate(keys, ratio, least_pages, broadcast_lines))
+    rows = df.select(*names).withColumn("__key", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("__own", F.col(text_col))
+    joined = with_list(rows, found, "line", broadcast_lines)
     before = lines_of(F.col(text_col))
-    kept = F.filter(F.col("__before"), lambda x: blank(x) | ~F.array_contains(F.col("__lines"), F.xxhash64(x)))
-    joined = joined.withColumn("__before", before).withColumn("__kept", F.when(F.col("__lines").isNull(), F.col("__before")).otherwise(kept))
+    joined = joined.withColumn("__before", before).withColumn("__hits", F.array_intersect("__before", "__lines"))  # in time of both together
+    kept = F.filter(F.col("__before"), lambda x: ~F.array_contains(F.col("__hits"), x))
+    joined = joined.withColumn("__kept", F.when(F.size("__hits") > 0, kept).otherwise(F.col("__before")))
     n_lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", F.lit(0)).otherwise(F.size("__before"))
     return joined.select(
         *(F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in names),

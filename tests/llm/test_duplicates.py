@@ -206,15 +206,28 @@ def test_line_dedup_brute(spark):
     assert got[10] == ("nav\nnav", 2, 0) and got[11] == (None, 0, 0) and got[12] == ("nav", 1, 0)
 
 
-def test_line_dedup_floor_on_small_hosts(spark):
-    """The floor of five pages keeps what is over the ratio on a small host; without it the ratio alone decides."""
+def test_line_dedup_on_small_hosts(spark):
+    """The ratio alone decides about every repeated line; a floor is a choice of the caller."""
     on = lambda k: [f"on {n}" for n in (2, 4, 5) if k < n]
     rows = [(k, "\n".join([f"only {k}", *on(k)]), "ten") for k in range(10)] + [(100 + k, f"only {k}\nall", "four") for k in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     lines = lambda out: {r["doc_id"]: r["text"].split("\n") for r in out.collect()}
-    floor, ratio = lines(line_dedup.drop_boilerplate(df)), lines(line_dedup.drop_boilerplate(df, least_pages=2))
+    floor, ratio, tie = lines(line_dedup.drop_boilerplate(df, least_pages=5)), lines(line_dedup.drop_boilerplate(df)), lines(line_dedup.drop_boilerplate(df, 0.5))
     for k in range(10):
-        assert floor[k] == [f"only {k}", *(x for x in on(k) if x != "on 5")]  # half of the pages, where 2 % is the ratio
+        assert floor[k] == [f"only {k}", *(x for x in on(k) if x != "on 5")]
         assert ratio[k] == [f"only {k}"]
+        assert tie[k] == [f"only {k}", *on(k)]  # exactly at the limit stays
     for k in range(4):
         assert floor[100 + k] == [f"only {k}", "all"] and ratio[100 + k] == [f"only {k}"]
+
+
+def test_line_dedup_with_colliding_hashes(spark, monkeypatch):
+    """Lines are told apart by their texts where all hashes are alike."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"own {k}\nnav\n{'rare' if k < 3 else 'x'}", "h") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = as_rows(line_dedup.drop_boilerplate(df, 0.4))
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: F.length(cols[0]).cast("bigint") * 0)
+    assert as_rows(line_dedup.drop_boilerplate(df, 0.4)) == want
+    assert all(r[1].startswith("own") and "nav" not in r[1] for r in want)
