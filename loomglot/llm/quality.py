@@ -114,21 +114,27 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray) -> Rules:
-    """The ensemble for labelled rows; with one class or no row, a constant score."""
-    if len(y) < 20 or y.min() == y.max():
+    """The ensemble for labelled rows, however few; only where a class is missing there is nothing to tell apart, and the score is constant."""
+    if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Rules(float(np.log(share / (1 - share))), ())
-    _, grown = trees.boost(x, y, ROUNDS, DEPTH, RATE)
+    _, grown = trees.boost(x, y, ROUNDS, DEPTH, RATE, least=max(1, min(5, len(y) // 8)))
     rules = sorted({p for t in grown for p in trees.paths(t)})
+    if not rules:  # no statistic differs
+        share = (y.sum() + 1) / (len(y) + 2)
+        return Rules(float(np.log(share / (1 - share))), ())
     r = rule_matrix(x, rules)
     _, first = np.unique(r, axis=1, return_index=True)  # rules that hold for the same rows count once
     rules, r = [rules[k] for k in sorted(first)], r[:, sorted(first)]
     held = np.arange(len(y)) % VALIDATION == 0
+    if len(set(y[~held].tolist())) < 2:
+        held = np.zeros(len(y), bool)  # too few rows to spare any: the penalty is chosen on those of the fit
 
     def loss(penalty):
         b, w = lasso_logistic(r[~held], y[~held], penalty)
-        p = np.clip(trees.sigmoid(b + r[held] @ w), 1e-6, 1 - 1e-6)
-        return -np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))
+        judged = held if held.any() else ~held
+        p = np.clip(trees.sigmoid(b + r[judged] @ w), 1e-6, 1 - 1e-6)
+        return -np.mean(y[judged] * np.log(p) + (1 - y[judged]) * np.log(1 - p))
 
     bias, weights = lasso_logistic(r, y, min(PENALTIES, key=loss))
     return Rules(bias, tuple((float(w), rules[k]) for k, w in enumerate(weights) if abs(w) > 1e-6))
@@ -165,7 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row ``doc_id, held_out, score, predicted``.
 
     Null and empty texts are scored by their (zero) statistics; null ids stay and are not held out; repeated rows get
-    equal scores; an empty table gives no rows; without labels every score is 0.5. ``lang``, ``source``, ``doc_id`` and labels are
+    equal scores; a very long text is scored whole, in time that grows with its length; an empty table gives no rows; without labels every score is 0.5. ``lang``, ``source``, ``doc_id`` and labels are
     no inputs of a score.
     """
     out = score(docs.select("doc_id", "text"), fit(docs, labels))

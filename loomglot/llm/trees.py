@@ -70,14 +70,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float) -> tuple[float, list[Split | Leaf]]:
+def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, least: int = 5) -> tuple[float, list[Split | Leaf]]:
     """Logistic gradient boosting: the base log-odds and the trees, their leaves already scaled by ``rate``."""
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     score, trees = np.full(len(y), base), []
     for _ in range(rounds):
         p = sigmoid(score)
-        tree = scaled(fit_tree(x, p - y, p * (1 - p), depth), rate)
+        tree = scaled(fit_tree(x, p - y, p * (1 - p), depth, least=least), rate)
         trees.append(tree)
         score = score + predict_tree(tree, x)
     return base, trees

@@ -84,6 +84,16 @@ def test_quality_edges(spark, edge):
     assert quality.quality_scores(edge.limit(0), labels).count() == 0
 
 
+def test_quality_with_few_labels(spark):
+    """Eight labelled rows are enough to tell two kinds of text apart."""
+    good, bad = "The house stands by a river, and the children play there. They like it.", "BUY NOW!!! $$$ ### CLICK @@@ 999 !!! %%% WIN"
+    rows = [(k, (good if k % 2 else bad) + f" {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = [k for k in range(40) if quality.crc_fold(k) != 1][:8]
+    labels = spark.createDataFrame([(k, k % 2) for k in seen], "doc_id long, quality int")
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in quality.quality_scores(docs, labels).collect())
+
+
 def test_rules():
     rnd = np.random.default_rng(1)
     x = rnd.random((600, len(quality.RATIOS)))
