@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
+import sys
 import tempfile
 
 import pyarrow as pa
@@ -43,10 +46,17 @@ def strip_ascii_space(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set (local tests) take a temporary folder."""
+    """Use the session's ``spark.checkpoint.dir``. Where none is set, a single-machine session (``local[n]``) takes a temporary folder, and a
+    cluster is refused: a folder of one machine would be lost with it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-", dir=os.environ.get("TMPDIR")))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -79,28 +89,46 @@ _KEPT: dict = {}
 def kept_in_worker(key, make):
     """One object a key for the life of a Python worker, so that the tasks it runs in turn share its memo."""
     if key not in _KEPT:
-        _KEPT.clear()  # a worker serves one operator at a time
+        forget()  # a worker serves one operator at a time
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what an earlier operator left in this Python worker."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; a worker lives through many tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: memory goes back when the worker ends
+
+
 class Memo(dict):
-    """A dictionary that computes missing values and forgets those not used of late: at the limit the entries become the
-    old generation, from which a lookup takes them back."""
+    """A dictionary from bytes to bytes or numbers that computes missing values and starts anew when its entries take ``limit`` bytes."""
+
+    #: Bytes of an entry besides its contents: two object headers and its place in the table.
+    OVERHEAD = 180
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.held = limit, 0
 
     def compute(self, key):
         raise NotImplementedError
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        value = self.compute(key)
+        self.held += len(key) + len(value) + self.OVERHEAD
+        if self.held > self.limit:
             self.clear()
+            self.held = len(key) + len(value) + self.OVERHEAD
         self[key] = value
         return value

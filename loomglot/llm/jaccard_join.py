@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, doc_text, documents, kept_in_worker, small_batches
+from .common import checkpointed, doc_text, documents, forget, give_back, small_batches
 from .components import components
 from .passages import NULL_ID, docs_of, pack_docs, unpack_docs
-from .shingles import CELLS, TOGETHER, WordNames, profiles, set_name, shingle_sets, signatures
+from .shingles import CELLS, TOGETHER, profiles, set_name, shingle_sets, signatures
 
 BLOCK_BYTES, BUCKET_ENTRIES, SMALL_REGION = 2 << 20, 400_000, 512
 #: Sets of a region whose profiles one task compares.
@@ -51,10 +51,6 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(x, f.type) for x, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
 
 
-def _names() -> WordNames:
-    return kept_in_worker("word names", WordNames)
-
-
 def _sql(schema: pa.Schema) -> str:
     kinds = {"int32": "int", "int64": "bigint", "binary": "binary", "double": "double", "bool": "boolean"}
     return ", ".join(f"`{f.name}` {kinds.get(str(f.type), 'array<bigint>')}" for f in schema)
@@ -62,6 +58,7 @@ def _sql(schema: pa.Schema) -> str:
 
 def to_blocks(batches):
     """Compressed runs of documents under a name made from their content, the same in every attempt."""
+    forget()
     for batch in small_batches(batches, rows=1 << 16, byte_budget=BLOCK_BYTES):
         body = pack_docs(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         name = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
@@ -195,7 +192,7 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
                 out, held, known, fresh = [], [], set(), ([], [], [])
                 for k in range(0, len(docs), TOGETHER):
                     part = docs[k : k + TOGETHER]
-                    sets = shingle_sets([t.decode() for _, t in part], words, _names())
+                    sets = shingle_sets([t.decode() for _, t in part], words)
                     ids = [set_name(s) if len(s) else 0 for s in sets]
                     out += [(d, len(s), i) for (d, _), s, i in zip(part, sets, ids)]
                     held.append(profiles(sets).tobytes())
@@ -235,7 +232,7 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         docs = docs_of(table)
         for k in range(0, len(docs), TOGETHER):
             texts = [t for _, t in docs[k : k + TOGETHER]]
-            for t, s in zip(texts, shingle_sets([t.decode() for t in texts], words, _names())):
+            for t, s in zip(texts, shingle_sets([t.decode() for t in texts], words)):
                 name = set_name(s) if len(s) else 0
                 if len(s) and name in want:
                     want.discard(name)
@@ -243,7 +240,7 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         return _table(out, TEXT)
 
     def sets_of(bodies):
-        return shingle_sets([zstandard.ZstdDecompressor().decompress(b).decode() for b in bodies], words, _names())
+        return shingle_sets([zstandard.ZstdDecompressor().decompress(b).decode() for b in bodies], words)
 
     def sieve(table: pa.Table) -> pa.Table:
         """Of two parts of a region (or one with itself), the sets with another in their window."""
@@ -306,7 +303,7 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         docs = docs_of(table)
         for k in range(0, len(docs), TOGETHER):
             texts = [t for _, t in docs[k : k + TOGETHER]]
-            for t, s in zip(texts, shingle_sets([t.decode() for t in texts], words, _names())):
+            for t, s in zip(texts, shingle_sets([t.decode() for t in texts], words)):
                 name = set_name(s) if len(s) else 0
                 if len(s) and name in want:
                     want.discard(name)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 
-from .common import Memo
-
-WORD_LIMIT = 500_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Texts taken together, and the bits that number them.
 TOGETHER, TOGETHER_BITS = 64, 6
@@ -15,23 +14,13 @@ NAME_BITS = 64 - TOGETHER_BITS
 NAME_MASK = np.uint64((1 << NAME_BITS) - 1)
 
 
-class WordNames(Memo):
-    """Lower-cased word (bytes) -> 64-bit name."""
-
-    def __init__(self):
-        super().__init__(WORD_LIMIT)
-
-    def compute(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_names(texts: list[str], words: int, names: WordNames) -> tuple[np.ndarray, np.ndarray]:
+def shingle_names(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of up to ``TOGETHER`` texts in a row, repeats included, as ``number of the text, name``.
 
     A-Z are lower-cased; words end at ASCII white space; a text of fewer words than a shingle has its whole sequence as one; a
@@ -42,8 +31,7 @@ def shingle_names(texts: list[str], words: int, names: WordNames) -> tuple[np.nd
     total = int(counts.sum())
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    look = names.__getitem__
-    ids = np.fromiter((k for s in split for k in map(look, s)), np.uint64, total)
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, total)
     owner = np.repeat(np.arange(len(texts)), counts)
     end, span = np.cumsum(counts)[owner], np.minimum(words, counts)[owner]
     at = np.flatnonzero(np.arange(total) + span <= end)
@@ -58,12 +46,12 @@ def shingle_names(texts: list[str], words: int, names: WordNames) -> tuple[np.nd
     return owner[at], h & NAME_MASK
 
 
-def shingle_sets(texts: list[str], words: int, names: WordNames) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The distinct shingles of each text, ascending."""
     out = []
     for k in range(0, len(texts), TOGETHER):
         part = texts[k : k + TOGETHER]
-        owner, h = shingle_names(part, words, names)
+        owner, h = shingle_names(part, words)
         flat = np.sort(owner.astype(np.uint64) << np.uint64(NAME_BITS) | h)
         if len(flat):
             flat = flat[np.concatenate(([True], flat[1:] != flat[:-1]))]
