@@ -1,8 +1,12 @@
 """Sampled sentence-piece segmentation: forward filtering, backward sampling over the piece lattice; lossless decoding.
 
-A text is its dummy space and characters; spaces are written as the word mark. The lattice is cut before every space, so each unit
-(a word with the space before it) has a lattice of its own whose edges are the vocabulary pieces. Characters that are no
-piece, and a literal word mark, become byte pieces, so decoding returns the text exactly.
+A text is its dummy space and characters; spaces are written as the word mark. The lattice is cut where no piece of the vocabulary can cross: before a run
+of spaces, if no piece has a mark behind another character, and nowhere else. Each unit (a run of spaces and the word behind it) so has a lattice of
+its own whose edges are all pieces of the vocabulary, those of several marks too. Characters that are no piece, and a literal word mark, become byte
+pieces, so decoding returns the text exactly.
+
+Pieces of a unigram model weigh their scores, which are log-probabilities. A merge model has ranks instead; the piece of rank r
+weighs ``-log(r + 2)``, as in a text where words follow Zipf's law.
 
 Forward sums are kept per distinct unit, for all units of a batch at once; backward sampling draws the last piece of a prefix, then the
 one before, for all units of a batch at once. Draws come from a counter-based generator over (seed, row key, unit
@@ -12,6 +16,7 @@ number, step), so a row's segmentation depends neither on other rows nor on how
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +32,8 @@ LITERAL_MARK = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Leading bits of a piece's hash in the filter before the search.
 SEEN_BITS = 19
-UNIT_LIMIT = 400_000
+#: Characters of the units whose tables a worker keeps; they only save time.
+UNIT_LIMIT = 3_000_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
 
@@ -44,25 +50,63 @@ def row_seed(doc_id: int | None, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")
 
 
+def _fields(data: bytes):
+    """``number, value`` of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+        else:
+            size = varint() if kind == 2 else 8 if kind == 1 else 4
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def is_unigram(proto: bytes) -> bool:
+    """Whether the model's trainer says unigram, which is also its default."""
+    trainer = b"".join(v for n, v in _fields(proto) if n == 2)
+    return dict(_fields(trainer)).get(3, 1) == 1
+
+
 class Vocabulary:
-    """Pieces with log-probabilities by rank (Zipf), hashed by length; byte pieces apart."""
+    """Pieces with log-probabilities, hashed by length; byte pieces apart."""
 
     def __init__(self, proto: bytes):
         sp = SentencePieceProcessor(model_proto=proto)
         n = sp.get_piece_size()
-        plain = [k for k in range(n) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k)) and chr(MARK) not in sp.id_to_piece(k)[1:]]
-        rank = np.array([-sp.get_score(k) for k in plain])
+        plain = [k for k in range(n) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
+        score = np.array([sp.get_score(k) for k in plain])
         floor = float(-np.log(n + 2.0))
+        weight = np.maximum(floor, -np.log(np.maximum(-score, 0) + 2.0))
+        if is_unigram(proto):
+            weight, floor = score, float(score.min())
+        #: Units of a text (with its dummy space first): all of it, if a piece may cross from a word into the spaces behind it.
+        crossing = any(re.search(f"[^{chr(MARK)}]{chr(MARK)}", sp.id_to_piece(k)) for k in plain)
+        self.units = (lambda text: [text]) if crossing else re.compile(" +[^ ]*").findall
         self.byte_logp = 1.5 * floor
         self.first_byte = next((k for k in range(n) if sp.is_byte(k)), None)
         if self.first_byte is None:
             raise ValueError("the model has no byte pieces, so unknown characters could not be kept")
         self.bytes_of = [b""] * n
         by_length: dict[int, list] = {}
-        for k, r in zip(plain, rank):
+        for k, w in zip(plain, weight.tolist()):
             piece = sp.id_to_piece(k)
             self.bytes_of[k] = piece.replace(chr(MARK), " ").encode()
-            by_length.setdefault(len(piece), []).append((piece, k, max(floor, -np.log(r + 2.0))))
+            by_length.setdefault(len(piece), []).append((piece, k, w))
         for b in range(256):
             self.bytes_of[self.first_byte + b] = bytes([b])
         self.longest = max(by_length)
@@ -102,6 +146,7 @@ class Lattices:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
+        self.held = 0  # characters of these units
         self.last_node = Grown(np.int32)  # by unit: its final node; the nodes of a unit follow one another
         self.first_edge = Grown(np.int32)  # by node
         self.cumulative = Grown(np.float32)  # by edge: probability of this edge or one before it, 1 at a node's last
@@ -143,12 +188,12 @@ class Lattices:
         return join([*starts, odd]), join([*stops, odd]), join([*pieces, (-1 - point).astype(np.int32)]), join([*weights, v.byte_logp * width])
 
     def add(self, units: list[str]) -> None:
-        """Forward filtering for new distinct units (each without its leading space)."""
-        lengths = np.array([len(u) + 1 for u in units], np.int32)
-        text = np.frombuffer((" " + " ".join(units)).encode("utf-32-le"), np.uint32).astype(np.int64)
+        """Forward filtering for new distinct units."""
+        lengths = np.array([len(u) for u in units], np.int32)
+        text = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
         first = (np.cumsum(lengths) - lengths).astype(np.int32)
         text[text == MARK] = LITERAL_MARK
-        text[first] = MARK  # the joining spaces
+        text[text == 0x20] = MARK
         total, unit_first = len(text), np.repeat(first, lengths)
         starts, stops, pieces, weights = self.edges(text, np.repeat(first + lengths, lengths))
         # Edges by depth of their end within the unit, then by node: all that end at one depth are summed together.
@@ -185,11 +230,12 @@ class Lattices:
         self.last_node.append(nodes + first + lengths - 1)
         known = len(self.index)
         self.index.update(zip(units, range(known, known + len(units))))
+        self.held += total
 
     def sample(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
         """Piece ids of each text; ``keys`` are the row seeds."""
-        split = [t.split(" ") if t else [] for t in texts]
-        if len(self.index) > UNIT_LIMIT:
+        split = [self.vocabulary.units(" " + t) if t else [] for t in texts]
+        if self.held > UNIT_LIMIT:
             self.reset()
         new = set().union(*split).difference(self.index)
         if new:
