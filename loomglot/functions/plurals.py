@@ -31,9 +31,3 @@ def required(language: Column) -> Column:
 
 def missing(language: Column, forms: Column) -> Column:
     return F.array_except(required(language), F.map_keys(forms))
-
-
-def required_sql(language: str) -> str:
-    """The same as SQL text: the categories joined by commas."""
-    cases = " ".join(f"WHEN {language} IN ({', '.join(repr(x) for x in langs.split())}) THEN '{','.join(c)}'" for c, langs in REQUIRED.items())
-    return f"CASE {cases} ELSE 'other' END"

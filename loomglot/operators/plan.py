@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
@@ -98,27 +98,60 @@ def apply_results(target: DataFrame, results: DataFrame, plan: DataFrame | None
     return updated.unionByName(added)
 
 
+def _allowed(remote: DataFrame, languages: list[str] | None) -> DataFrame:
+    if languages is None:
+        return remote
+    allowed = F.lit(False)
+    for x in languages:
+        allowed = allowed | L.matches(F.col("language"), F.lit(x))
+    return remote.filter(allowed)
+
+
 def pull(local: DataFrame, remote: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """What a pulled catalog does to a local one: ``id, language, action, text, status, comment`` for each pulled entry.
 
     Keys that no local language has are ``unknown``; empty values are ``empty``; entries equal in value, status and comment are ``same``; the others
-    ``update`` an entry or ``insert`` one for a new language. ``languages`` keeps matching ones.
+    ``update`` an entry or ``insert`` one for a new language. An entry is one of the same key and exactly the same language. ``languages`` keeps matching
+    ones. Of an entry that is pulled repeatedly the last counts.
     """
-    if languages is not None:
-        allowed = F.lit(False)
-        for x in languages:
-            allowed = allowed | L.matches(F.col("language"), F.lit(x))
-        remote = remote.filter(allowed)
-    pulled = latest(remote.withColumn("lang", L.normalized(F.col("language"))), "lang", "id").withColumn("vkey", value_key())
-    mine = latest(local.withColumn("lang", L.normalized(F.col("language"))), "lang", "id", newest=False)
-    mine = mine.select("lang", "id", value_key().alias("my_vkey"), F.col("status").alias("my_status"), F.coalesce("comment", F.lit("")).alias("my_comment"), F.lit(True).alias("here"))
+    pulled = latest(_allowed(remote, languages), "language", "id").withColumn("vkey", value_key())
+    mine = latest(local, "language", "id", newest=False)
+    mine = mine.select("language", "id", value_key().alias("my_vkey"), F.col("status").alias("my_status"), F.coalesce("comment", F.lit("")).alias("my_comment"), F.lit(True).alias("here"))
     known = local.select("id").distinct().withColumn("known", F.lit(True))
-    rows = pulled.join(known, "id", "left").join(mine, ["lang", "id"], "left")
+    rows = pulled.join(known, "id", "left").join(mine, ["language", "id"], "left")
     same = (F.col("vkey") == F.col("my_vkey")) & F.col("status").eqNullSafe(F.col("my_status")) & (F.coalesce("comment", F.lit("")) == F.col("my_comment"))
     action = F.when(F.col("known").isNull(), "unknown").when(blank(F.col("kind"), F.col("text")), "empty").when(F.col("here").isNull(), "insert").when(same, "same").otherwise("update")
     return rows.select("id", "language", action.alias("action"), "text", "status", "comment")
 
 
+def merge_pulled(local: DataFrame, remote: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """The local entries after a pull, with the column ``action`` (null where nothing was done): updated ones in their place with the pulled value,
+    status and comment, inserted ones at the end of their language's first resource or of a new one. Keys that no local language has are
+    left out."""
+    remote = _allowed(remote, languages)
+    taken = latest(remote.filter(~blank(F.col("kind"), F.col("text"))), "language", "id")
+    names = ("kind", "text", "plural_id", "forms", "comment", "status")
+    given = taken.select("language", "id", F.struct(*names).alias("__new"), value_key().alias("__vkey"))
+    first = Window.partitionBy("language", "id").orderBy("resource_ord", "entry_ord")
+    rows = local.withColumn("__n", F.row_number().over(first)).join(given, ["language", "id"], "left")
+    differs = (F.col("__vkey") != value_key()) | ~F.col("status").eqNullSafe(F.col("__new.status")) | ~F.col("comment").eqNullSafe(F.col("__new.comment"))
+    rows = rows.withColumn("action", F.when((F.col("__n") == 1) & F.col("__new").isNotNull() & differs, "update"))
+    own = rows.select(*(F.when(F.col("action").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in local.columns), "action")
+    homes = local.groupBy("language").agg(F.min("resource_ord").alias("__home"))
+    after = local.agg((F.coalesce(F.max("resource_ord"), F.lit(-1)) + 1).alias("__next"), (F.coalesce(F.max("entry_ord"), F.lit(-1)) + 1).alias("__last"))
+    fresh = taken.join(local.select("language", "id").distinct(), ["language", "id"], "left_anti").join(local.select("id").distinct(), "id", "left_semi")
+    fresh = fresh.join(homes, "language", "left").crossJoin(F.broadcast(after))  # one row
+    place = {"resource_ord": F.coalesce("__home", F.col("__next") + F.col("resource_ord")), "entry_ord": F.col("__last") + F.col("entry_ord")}
+    return own.unionByName(fresh.select(*(place.get(c, F.col(c)).alias(c) for c in local.columns), F.lit("insert").alias("action")))
+
+
+def pull_report(local: DataFrame, remote: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """One row: ``merged`` entries and ``skipped_new_keys``."""
+    actions = pull(local, remote.filter(~blank(F.col("kind"), F.col("text"))), languages)
+    lost = _allowed(remote, languages).join(local.select("id").distinct(), "id", "left_anti").agg(F.count("*").alias("skipped_new_keys"))
+    return actions.agg(F.count_if(F.col("action").isin("insert", "update")).alias("merged")).crossJoin(F.broadcast(lost))  # one row
+
+
 def annotation_targets(entries: DataFrame, source_language: str = "en") -> DataFrame:
     """``id, text, comment`` of keys that no entry has a comment by hand for. The text is the source language's, else the key; the comment is the
     first that is not empty. A generated comment says so in ``custom``."""

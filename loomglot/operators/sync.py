@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..schema import CatalogError, value_key
 from .select import latest
 
-ROW = ["resource_ord", "entry_ord"]
 VALUE = ["kind", "text", "plural_id", "forms"]
 OUTCOMES = ("updated", "unchanged", "type_mismatch", "missing_language", "unmatched", "ambiguous")
 
@@ -25,11 +24,10 @@ def match_language(resources: DataFrame, explicit: str | None = None) -> str:
 
 
 def _aliases(source: DataFrame, resources: DataFrame | None, language: str) -> DataFrame:
-    """``alias, id, n``: distinct keys by their singular text in the first matching resource, and how many keys share the text."""
+    """``alias, candidate``: distinct keys by their singular text in the first matching resource."""
     listed = (source if resources is None else resources).filter(L.matches(F.col("language"), F.lit(language))).agg(F.min("resource_ord").alias("__first"))
     texts = source.join(F.broadcast(listed), F.col("resource_ord") == F.col("__first")).filter("kind = 'singular' and text <> ''")  # one row
-    pairs = texts.select(F.col("text").alias("alias"), F.col("id").alias("candidate")).distinct()
-    return pairs.withColumn("n", F.count("*").over(Window.partitionBy("alias")))
+    return texts.select(F.col("text").alias("alias"), F.col("id").alias("candidate")).distinct()
 
 
 def resolve(source: DataFrame, target: DataFrame, language: str = "en", source_resources: DataFrame | None = None, target_resources: DataFrame | None = None, only: str | None = None) -> DataFrame:
@@ -41,24 +39,29 @@ def resolve(source: DataFrame, target: DataFrame, language: str = "en", source_r
     """
     source_values = latest(source.withColumn("lang", L.normalized(F.col("language"))), "id", "lang")
     source_values = source_values.select(F.col("id").alias("key"), "lang", F.split_part("lang", F.lit("-"), F.lit(1)).alias("base"), F.struct(*VALUE).alias("value"), value_key().alias("vkey"))
-    by_base = source_values.groupBy("key", "base").agg(F.count("*").alias("n_base"), F.first("value").alias("base_value"), F.first("vkey").alias("base_vkey")).filter("n_base = 1").drop("n_base")
+    by_base = source_values.groupBy("key", "base").agg(F.count("*").alias("n_base"), F.first("value").alias("base_value"), F.first("vkey").alias("base_vkey"))
     rows = target if only is None else target.filter(L.matches(F.col("language"), F.lit(only)))
     rows = rows.withColumn("lang", L.normalized(F.col("language"))).withColumn("base", F.split_part("lang", F.lit("-"), F.lit(1)))
     known = source_values.select(F.col("key").alias("__known")).distinct()
     tokens = _aliases_of_target(target, target_resources, language)
     rows = rows.join(known, F.col("id") == F.col("__known"), "left").join(tokens, F.col("id") == F.col("__token_id"), "left")
 
+    # Candidates are counted before they meet the target's rows: by alias, by alias and base (keys with one value of that base) and by alias and
+    # language (keys with several values of its base, which the other count leaves out). So every join adds at most one row to a row.
     aliases = _aliases(source, source_resources, language)
-    open_rows = rows.filter("__known is null").select(*ROW, "id", "token", "lang", "base")
-    by_key = open_rows.join(aliases, F.col("id") == F.col("alias")).withColumn("step", F.lit(1))
-    by_token = open_rows.join(aliases, F.col("token") == F.col("alias")).withColumn("step", F.lit(2))
-    found = by_key.unionByName(by_token).withColumn("least", F.min("step").over(Window.partitionBy(*ROW))).filter("step = least")
-    exact = source_values.select(F.col("key").alias("candidate"), "lang").withColumn("has_lang", F.lit(True))
-    loose = by_base.select(F.col("key").alias("candidate"), "base").withColumn("has_base", F.lit(True))
-    found = found.join(exact, ["candidate", "lang"], "left").join(loose, ["candidate", "base"], "left").withColumn("ok", F.col("has_lang").isNotNull() | F.col("has_base").isNotNull())
-    chosen = found.groupBy(*ROW).agg(F.count("*").alias("n"), F.count_if("ok").alias("n_ok"), F.min(F.when(F.col("ok"), F.col("candidate"))).alias("ok_id"), F.min("candidate").alias("any_id"))
-
-    rows = rows.join(chosen, ROW, "left")
+    shared = aliases.groupBy("alias").agg(F.count("*").alias("n"), F.min("candidate").alias("any_id"))
+    held = aliases.join(by_base.select(F.col("key").alias("candidate"), "base", "n_base"), "candidate")
+    loose = held.filter("n_base = 1").groupBy("alias", "base").agg(F.count("*").alias("n_loose"), F.min("candidate").alias("loose_id"))
+    strict = held.filter("n_base > 1").join(source_values.select(F.col("key").alias("candidate"), "base", "lang"), ["candidate", "base"])
+    strict = strict.groupBy("alias", "lang").agg(F.count("*").alias("n_strict"), F.min("candidate").alias("strict_id"))
+
+    open_key = F.when(F.col("__known").isNull(), F.col("id"))
+    open_token = F.when(F.col("__known").isNull(), F.col("token"))
+    names = shared.select(F.col("alias").alias("__by_key"))
+    rows = rows.withColumn("__key", open_key).join(names, F.col("__key") == F.col("__by_key"), "left").withColumn("alias", F.coalesce("__by_key", open_token)).drop("__key", "__by_key")
+    rows = rows.join(shared, "alias", "left").join(loose, ["alias", "base"], "left").join(strict, ["alias", "lang"], "left")
+    rows = rows.withColumn("n_ok", F.coalesce("n_loose", F.lit(0)) + F.coalesce("n_strict", F.lit(0))).withColumn("ok_id", F.least("loose_id", "strict_id"))
+    by_base = by_base.filter("n_base = 1").drop("n_base")
     several = F.col("n") > 1
     rows = rows.withColumn("how", F.when(F.col("__known").isNotNull(), "exact").when(F.col("n").isNull(), "none").when(several & (F.col("n_ok") != 1), "ambiguous").otherwise("fallback"))
     rows = rows.withColumn("key", F.when(F.col("how") == "exact", F.col("id")).when(F.col("how") == "fallback", F.when(several, F.col("ok_id")).otherwise(F.col("any_id"))))

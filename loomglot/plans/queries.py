@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, languages, placeholders, plurals, texts
 from ..operators import checks, diff, edit, merge, normalize, plan, select, sync
 from ..schema import STATUSES, as_entries
-from .catalogs import derived, oracle
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str, *catalogs: str):
-    """Register a query with its SQL over the named catalogs."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = (("WITH " + ", ".join(map(oracle, catalogs))) if catalogs else "") + sql
-        return f
-
-    return add
-
+from .catalogs import derived
+from .registry import ORACLE_SQL, QUERIES, query
 
 _STATUS = ", ".join(f"CAST(sum(CASE WHEN status = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS {s}" for s in STATUSES)
 _COMPLETION = "CASE WHEN count(*) = sum(CASE WHEN status = 'do_not_translate' THEN 1 ELSE 0 END) THEN 100.0 ELSE round(CAST(sum(CASE WHEN status = 'translated' THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) - sum(CASE WHEN status = 'do_not_translate' THEN 1 ELSE 0 END)) * 100, 2) END AS completion"
@@ -102,7 +85,7 @@ def non_empty_resources(spark, sf_dir):
     return select.non_empty_resources(nations, derived(spark, sf_dir, "plural_cat")).select(F.col("resource_ord").cast("int").alias("resource_ord"))
 
 
-@query(" SELECT resource_ord, count(*) AS n FROM (SELECT resource_ord FROM part_cat UNION ALL SELECT resource_ord + 3 FROM orders_src) t GROUP BY resource_ord", "part_cat", "orders_src")
+@query(" SELECT resource_ord, count(*) AS n FROM (SELECT resource_ord FROM part_cat UNION ALL SELECT resource_ord + (SELECT max(resource_ord) + 1 FROM part_cat) FROM orders_src) t GROUP BY resource_ord", "part_cat", "orders_src")
 def union_all(spark, sf_dir):
     both = select.union_all(derived(spark, sf_dir, "part_cat"), derived(spark, sf_dir, "orders_src"))
     return both.groupBy("resource_ord").agg(F.count("*").alias("n"))
@@ -184,7 +167,9 @@ def sync_report(spark, sf_dir):
 
 
 _NORMALIZED = r"replace(replace(replace(regexp_replace(text, '%([0-9]+)\$@', '%\1$s', 'g'), '%@', '%s'), '%ld', '%d'), '%lu', '%u')"
-_TOKENS = f"list_filter(regexp_extract_all({{}}, '{placeholders.TOKEN}', 0), lambda t: t <> '%%')"
+#: The placeholders that the catalog's texts hold, written out here and not taken from the library.
+_PLACEHOLDER = r"%%|%(?:[0-9]+\$)?(?:ld|lu|[@sdu])"
+_TOKENS = f"list_filter(regexp_extract_all({{}}, '{_PLACEHOLDER}', 0), lambda t: t <> '%%')"
 _SIGNATURE = "array_to_string(list_transform(" + _TOKENS.format(_NORMALIZED) + r", lambda t: coalesce(regexp_extract(t, '^%([0-9]+\$)?', 1), '') || translate(lower(right(t, 1)), '@', 's')), ',')"
 
 
@@ -212,16 +197,18 @@ def placeholder_issues(spark, sf_dir):
 _PARTED = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(id, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'))"
 
 
-@query(f" SELECT id, {_PARTED} AS snake, replace({_PARTED}, '_', '-') AS kebab, 'part' || upper(substr(split_part({_PARTED}, '_', 1), 5, 1)) || substr(split_part({_PARTED}, '_', 1), 6) || 'Label' AS camel FROM part_cat WHERE language = 'en'", "part_cat")
+@query(f" SELECT id, {_PARTED} AS snake, replace({_PARTED}, '_', '-') AS kebab, array_to_string(list_transform(string_split({_PARTED}, '_'), lambda w, k: CASE WHEN k = 1 THEN w ELSE upper(left(w, 1)) || substr(w, 2) END), '') AS camel FROM part_cat WHERE language = 'en'", "part_cat")
 def key_styles(spark, sf_dir):
     key = F.col("id")
     return select.by_language(derived(spark, sf_dir, "part_cat"), "en").select("id", keys.snake(key).alias("snake"), keys.kebab(key).alias("kebab"), keys.camel(key).alias("camel"))
 
 
+#: What the six languages of the catalog require, written out here and not taken from the library.
+_REQUIRED = "CASE left(language, 2) WHEN 'en' THEN 'one,other' WHEN 'ru' THEN 'one,few,many,other' WHEN 'ja' THEN 'other' WHEN 'ar' THEN 'zero,one,two,few,many,other' WHEN 'cs' THEN 'one,few,other' WHEN 'lv' THEN 'zero,one,other' END"
 _LANG = "split_part(lower(replace(trim(language), '_', '-')), '-', 1)"
 
 
-@query(f" SELECT DISTINCT language, lower(replace(trim(language), '_', '-')) AS normalized, {_LANG} AS base, {plurals.required_sql(_LANG)} AS required FROM plural_cat", "plural_cat")
+@query(f" SELECT DISTINCT language, lower(replace(trim(language), '_', '-')) AS normalized, {_LANG} AS base, {_REQUIRED} AS required FROM plural_cat", "plural_cat")
 def language_table(spark, sf_dir):
     lang = F.col("language")
     rows = derived(spark, sf_dir, "plural_cat").select("language", languages.normalized(lang).alias("normalized"), languages.base(lang).alias("base"), F.array_join(plurals.required(lang), ",").alias("required"))
@@ -233,7 +220,7 @@ def plain_texts(spark, sf_dir):
     return derived(spark, sf_dir, "part_cat").select("id", "language", texts.plain_text(F.col("text")).alias("plain"))
 
 
-_PLURAL = f", p AS (SELECT *, string_split(categories, ',') AS have, list_filter(string_split({plurals.required_sql(_LANG)}, ','), lambda c: NOT list_contains(string_split(categories, ','), c)) AS missing FROM plural_cat)"
+_PLURAL = f", p AS (SELECT *, string_split(categories, ',') AS have, list_filter(string_split({_REQUIRED}, ','), lambda c: NOT list_contains(string_split(categories, ','), c)) AS missing FROM plural_cat)"
 
 
 @query(_PLURAL + " SELECT resource_ord, entry_ord, language, id, array_to_string(missing, ',') AS missing, array_to_string(list_sort(have), ',') AS have FROM p WHERE len(missing) > 0", "plural_cat")
@@ -296,13 +283,27 @@ def apply_translations(spark, sf_dir):
     return plan.apply_results(derived(spark, sf_dir, "part_cat"), results, jobs).select("id", "language", "text", "status")
 
 
-@query(""", r AS (SELECT lower(replace(trim(language), '_', '-')) AS lang, id, arg_max(language, (resource_ord, entry_ord)) AS language, arg_max(kind, (resource_ord, entry_ord)) AS kind, arg_max(text, (resource_ord, entry_ord)) AS text, arg_max(status, (resource_ord, entry_ord)) AS status FROM orders_tgt GROUP BY 1, 2),
-m AS (SELECT lower(replace(trim(language), '_', '-')) AS lang, id, arg_min(kind || ':' || text, (resource_ord, entry_ord)) AS v, arg_min(status, (resource_ord, entry_ord)) AS status FROM orders_src GROUP BY 1, 2)
-SELECT r.id, r.language, CASE WHEN r.id NOT IN (SELECT id FROM orders_src) THEN 'unknown' WHEN r.text = '' THEN 'empty' WHEN m.id IS NULL THEN 'insert' WHEN m.v = r.kind || ':' || r.text AND m.status = r.status THEN 'same' ELSE 'update' END AS action, r.text, r.status FROM r LEFT JOIN m USING (lang, id)""", "orders_src", "orders_tgt")
+_PULL = """, r AS (SELECT language, id, arg_max(kind, (resource_ord, entry_ord)) AS kind, arg_max(text, (resource_ord, entry_ord)) AS text, arg_max(status, (resource_ord, entry_ord)) AS status FROM orders_tgt GROUP BY 1, 2),
+m AS (SELECT language, id, arg_min(kind || ':' || text, (resource_ord, entry_ord)) AS v, arg_min(status, (resource_ord, entry_ord)) AS status FROM orders_src GROUP BY 1, 2),
+a AS (SELECT r.id, r.language, CASE WHEN r.id NOT IN (SELECT id FROM orders_src) THEN 'unknown' WHEN r.text = '' THEN 'empty' WHEN m.id IS NULL THEN 'insert' WHEN m.v = r.kind || ':' || r.text AND m.status = r.status THEN 'same' ELSE 'update' END AS action, r.text, r.status FROM r LEFT JOIN m USING (language, id))"""
+
+
+@query(_PULL + " SELECT * FROM a", "orders_src", "orders_tgt")
 def pull_catalog(spark, sf_dir):
     return plan.pull(derived(spark, sf_dir, "orders_src"), derived(spark, sf_dir, "orders_tgt")).select("id", "language", "action", "text", "status")
 
 
+@query(_PULL + """ SELECT s.id, s.language, coalesce(a.text, s.text) AS text, coalesce(a.status, s.status) AS status, a.action FROM orders_src s LEFT JOIN a ON a.id = s.id AND a.language = s.language AND a.action = 'update'
+UNION ALL SELECT id, language, text, status, action FROM a WHERE action = 'insert'""", "orders_src", "orders_tgt")
+def pull_merged(spark, sf_dir):
+    return plan.merge_pulled(derived(spark, sf_dir, "orders_src"), derived(spark, sf_dir, "orders_tgt")).select("id", "language", "text", "status", "action")
+
+
+@query(_PULL + " SELECT count(*) FILTER (action IN ('insert', 'update')) AS merged, (SELECT count(*) FROM orders_tgt WHERE id NOT IN (SELECT id FROM orders_src)) AS skipped_new_keys FROM a", "orders_src", "orders_tgt")
+def pull_report(spark, sf_dir):
+    return plan.pull_report(derived(spark, sf_dir, "orders_src"), derived(spark, sf_dir, "orders_tgt"))
+
+
 @query(""", e AS (SELECT *, CASE WHEN entry_ord % 4 = 0 THEN 'note ' || id END AS comment FROM part_cat)
 SELECT id, coalesce(max(CASE WHEN language = 'en' AND trim(text) <> '' THEN text END), id) AS text FROM e GROUP BY id HAVING count(comment) = 0""", "part_cat")
 def annotation_targets(spark, sf_dir):
@@ -310,8 +311,6 @@ def annotation_targets(spark, sf_dir):
     return plan.annotation_targets(rows).select("id", "text")
 
 
-
-
 @query(" SELECT 'c' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, coalesce(max(CASE WHEN role = 'user' THEN text END), '') AS \"user\", coalesce(max(CASE WHEN role = 'assistant' THEN text END), '') AS assistant FROM conversations GROUP BY conv_id, turn")
 def pivot_languages(spark, sf_dir):
     from ..sources.tables import to_wide
@@ -339,3 +338,6 @@ def edit_entries(spark, sf_dir):
 def event_keys(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "props")
     return events.groupBy(F.col("event_type").alias("id")).agg(F.count("*").alias("n"), F.countDistinct(F.get_json_object("props", "$.k").cast("bigint")).alias("values"))
+
+
+from . import file_queries  # noqa: E402, F401  (registers the queries over files)

@@ -66,7 +66,7 @@ class _Reader:
             if "category" in self.item:
                 self.plural["forms"][self.item["category"]] = text
             else:
-                text = re.sub(r"\n[ \t]*\Z", "\n    ", text)
+                text = re.sub(r"\n[ \t]+\Z", "\n    ", text)
                 self.strings.append(self.item | {"text": text.replace("\r\n", "\n").replace("\n", "\\n")})
             self.item = None
         elif self.plural is not None and self.plural["depth"] == self.depth:
@@ -77,7 +77,7 @@ class _Reader:
 
 def _status(translatable: str | None, empty: bool) -> str:
     if translatable is not None:
-        return "translated" if translatable.strip().lower() == "true" else "do_not_translate"
+        return "translated" if translatable == "true" else "do_not_translate"
     return "new" if empty else "translated"
 
 

@@ -11,8 +11,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.languages import language_of_path, valid_tag
 from ..schema import ENTRIES, RESOURCES, CatalogError
@@ -28,7 +30,7 @@ def _table(separator: str):
     def parse(content: bytes, language: str | None = None) -> list[Resource]:
         out = []
         for name, pairs in parse_table(decoded(content), separator):
-            out.append(Resource(name, entries=[Entry(k, "singular" if v else "empty", v, status="translated") for k, v in pairs]))
+            out.append(Resource(name, entries=[Entry(k, "singular", v, status="translated") for k, v in pairs]))
         names = [r.language for r in out]
         for r in out:
             r.custom = {"source_language": min(names), "version": "1.0"}
@@ -127,25 +129,45 @@ def parse_file(path: str, content: bytes, format: str | None = None, language: s
     return found
 
 
-def read_catalog(spark: SparkSession, paths: list[str], format: str | None = None, language: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``resources, entries`` of files, in the order of their paths."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    order = {p: k for k, p in enumerate(sorted(r["path"] for r in files.select("path").collect()))}  # names alone
+#: One row a resource (``entry_ord`` is null) and one an entry.
+PARSED = T.StructType([*ENTRIES.fields, T.StructField("source_path", T.StringType())])
+
 
-    def rows(batches: Iterator[pd.DataFrame], wanted: str) -> Iterator[pd.DataFrame]:
+def parsed(files: DataFrame, format: str | None = None, language: str | None = None, strict: bool = False, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``resources, entries`` of files given as ``path, content`` (binary), in the order of their paths.
+
+    Each file is parsed once: both outputs are parts of one frame, which is kept in memory and on disk when ``keep`` is set. Paths are ranked by
+    Spark; contents take no part in that.
+    """
+    ranked = files.select("path").distinct().withColumn("rank", F.row_number().over(Window.orderBy("path")) - 1)  # names alone
+    files = files.select("path", "content").join(ranked, "path")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content, rank in zip(batch["path"], batch["content"], batch["rank"]):
+                out = []
                 for k, r in enumerate(parse_file(re.sub(r"^file:/+", "/", path), bytes(content), format, language, strict)):
-                    ord_ = order[path] * PER_FILE + k
-                    if wanted == "resources":
-                        out.append((ord_, r.language, r.domain, r.custom, path))
-                    else:
-                        out += [(ord_, n, r.language, r.domain, e.id, e.kind, e.text, e.plural_id, e.forms, e.comment, e.status, e.custom) for n, e in enumerate(r.entries)]
-            schema = RESOURCES if wanted == "resources" else ENTRIES
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return files.mapInPandas(lambda b: rows(b, "resources"), RESOURCES), files.mapInPandas(lambda b: rows(b, "entries"), ENTRIES)
+                    ord_ = int(rank) * PER_FILE + k
+                    out.append((ord_, None, r.language, r.domain, *[None] * 7, r.custom, path))
+                    out += [(ord_, n, r.language, r.domain, e.id, e.kind, e.text, e.plural_id, e.forms, e.comment, e.status, e.custom, None) for n, e in enumerate(r.entries)]
+                frame = pd.DataFrame(out, columns=PARSED.names)
+                yield frame.astype({"entry_ord": "Int64"})
+
+    both = files.mapInPandas(rows, PARSED)
+    if keep:
+        both = both.persist(StorageLevel.MEMORY_AND_DISK)
+    return both.filter("entry_ord is null").select(*RESOURCES.names), both.filter("entry_ord is not null").select(*ENTRIES.names)
+
+
+def read_catalog(spark: SparkSession, paths: list[str], format: str | None = None, language: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``resources, entries`` of files, in the order of their paths."""
+    return parsed(spark.read.format("binaryFile").load(paths), format, language, strict)
+
+
+def formats_match(a: str, b: str, language_of_a: str | None = None, language_of_b: str | None = None) -> bool:
+    """Whether two formats can hold the same languages: those of many languages go with any, two of one language need the same."""
+    many = ("xcstrings", "xliff", "csv", "tsv")
+    return named_format(a) in many or named_format(b) in many or language_of_a == language_of_b
 
 
 def _entry(row: pd.Series) -> Entry:

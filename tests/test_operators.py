@@ -155,7 +155,8 @@ def test_annotations_and_pull(spark):
     with pytest.raises(CatalogError):
         plan.apply_annotations(rows, spark.createDataFrame([("zz", "note")], "id string, comment string"))
     remote = entries(spark, (0, 0, "EN", "a", "New", "new"), (0, 1, "de", "a", "Neu", "new"), (0, 2, "en", "q", "?", "new"), (0, 3, "en", "b", "", "new"))
-    assert {(r["language"], r["id"]): r["action"] for r in plan.pull(rows, remote).collect()} == {("EN", "a"): "update", ("de", "a"): "insert", ("en", "q"): "unknown", ("en", "b"): "empty"}
+    # An entry is met in exactly its language: "EN" is one that the catalog lacks.
+    assert {(r["language"], r["id"]): r["action"] for r in plan.pull(rows, remote).collect()} == {("EN", "a"): "insert", ("de", "a"): "insert", ("en", "q"): "unknown", ("en", "b"): "empty"}
 
 
 def test_edits_and_selections(spark):

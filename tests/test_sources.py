@@ -69,6 +69,17 @@ def test_android():
             android.parse(bad)
 
 
+def test_android_details():
+    (r,) = android.parse(b'<resources><string name="a">foo\n</string><string name="b">foo\n  </string><string name="c" translatable="TRUE">x</string></resources>')
+    assert [(e.text, e.status) for e in r.entries] == [("foo\\n", "translated"), ("foo\\n    ", "translated"), ("x", "do_not_translate")]
+
+
+def test_format_details():
+    (r, _) = files.PARSERS["csv"](b"key,en,fr\na,,x\n")
+    assert [(e.kind, e.text, e.status) for e in r.entries] == [("singular", "", "translated")]
+    assert files.formats_match("csv", "android", None, "fr") and files.formats_match("strings", "android", "fr", "fr") and not files.formats_match("strings", "android", "fr", "de")
+
+
 def test_string_catalog():
     found = {r.language: {e.id: e for e in r.entries} for r in string_catalog.parse(json.dumps(CATALOG).encode())}
     assert found["fr"]["k"].text == "v" and found["en"]["k"].text == "k" and found["en"]["k"].status == "new"
