@@ -112,22 +112,26 @@ def give_back() -> None:
 
 
 class Memo(dict):
-    """A dictionary from bytes to bytes or numbers that computes missing values and starts anew when its entries take ``limit`` bytes."""
+    """A dictionary from bytes to bytes that computes missing values and forgets those not used of late: when its entries take ``limit`` bytes they
+    become the old generation, from which a lookup takes them back. So it takes twice the limit at most."""
 
     #: Bytes of an entry besides its contents: two object headers and its place in the table.
     OVERHEAD = 180
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.held = limit, 0
+        self.limit, self.held, self.old = limit, 0, {}
 
     def compute(self, key):
         raise NotImplementedError
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         self.held += len(key) + len(value) + self.OVERHEAD
         if self.held > self.limit:
+            self.old = dict(self)
             self.clear()
             self.held = len(key) + len(value) + self.OVERHEAD
         self[key] = value

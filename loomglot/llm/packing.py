@@ -30,8 +30,8 @@ SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 4, 64, 256
 #: Windows of these lengths need no padding.
 LEAST_POWER = 256
 BLOCK_TOKENS = 1 << 20
-#: Bytes that the words a worker remembers may take; they only save time.
-MEMO_LIMIT = 48 << 20
+#: Bytes that a generation of the words a worker remembers may take; they only save time.
+MEMO_LIMIT = 56 << 20
 PLAIN_WORD = re.compile(rb"[!-~]+").fullmatch
 #: Fixed value: the vocabulary's split pattern, over lower-case ASCII.
 PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
