@@ -65,6 +65,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A checkpointed table of narrow rows in as few partitions as hold ``rows`` each. One that fits into a single partition is grouped and joined without any
+    exchange from here on; the results are the same."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def small_batches(batches, rows: int = 512, byte_budget: int = 8 << 20):
     """Re-slice Arrow batches so that each holds at most ``rows`` rows and about ``byte_budget`` bytes.
 

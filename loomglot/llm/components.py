@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, compact
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round runs one large and one small star and is written to the checkpoint folder; it ends when nothing changes, after a number of
     rounds that grows with the logarithm of the longest path. No list of neighbours is gathered: stars are minima and joins.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    edges = compact(checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()))
     before = None
     for _ in range(most_rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
             break
         before = mark
-        edges = checkpointed(_star(_star(edges, True), False))
+        edges = compact(checkpointed(_star(_star(edges, True), False)))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.groupBy("b").agg(F.lit(1).alias("n")).select(F.col("b").alias("node"), F.col("b").alias("root"))

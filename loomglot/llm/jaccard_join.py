@@ -1,19 +1,20 @@
 """Exact Jaccard join of word-shingle sets in metric space.
 
 1. Sets meet in groups: two sets within the bound have equal projections on some small part of the shingle space
-   (``shingles.signatures``), and projections are the keys of the groups. No pair within the bound is lost.
+   (``shingles.signatures``), and projections are the keys of the groups. No pair within the bound is lost. A block of documents sends one set for each key;
+   blocks with several sets of a key are joined with their own lists, so that no task sees more than one entry a block and key.
 2. The least member of a group is its pivot. All groups of a pivot are its region; a set on a border lies in several regions. Every pair
    within the bound lies together in some region.
 3. Fixed pivots for all sets are 32 parts of the space. How far a set lies from each (its profile) bounds its distance from any other set
-   by the triangle inequality: the symmetric difference of two sets is at least the sum of the differences of their profiles. Sets
-   outside of the windows of all others leave their region, before any text is read.
+   by the triangle inequality: the symmetric difference of two sets is at least the sum of the differences of their profiles. In regions of a few
+   parts, sets outside of the windows of all others leave, before any text is read.
 4. A small region is joined by one task, pivot after pivot, on the shingles of the texts: with a pivot at distance d(x), x and y can link
    only if d(x) and d(y) differ by at most r = 1 - t, so each further pivot meets only the sets in its window.
 5. A large region is dealt over many tasks, each with a pivot's text. Sets at most r from the pivot link to it, and through it to one another.
    Only sets that are not linked to it, and linked ones within r of them by distance, go on. Since x and y differ where their
    differences from the pivot differ, they meet again in groups by the first shingles of these differences, those rare in the region
-   first. Groups that links have joined already are done; the others form regions once more, which are joined as in 4, a still large one in
-   pairs of parts of bounded size.
+   first. Groups that links have joined already are done; the others form the regions of the next level, with pivots of their own, and so on. Regions
+   that are still large after ``MOST_LEVELS`` levels are joined in pairs of parts of bounded size.
 
 Equal sets are one class throughout. Links are verified on the shingles of the texts; the components of verified links are those of
 all links.
@@ -30,21 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, doc_text, documents, forget, give_back, small_batches
+from .common import checkpointed, compact, doc_text, documents, forget, give_back, small_batches
 from .components import components
 from .passages import NULL_ID, docs_of, pack_docs, unpack_docs
 from .shingles import CELLS, TOGETHER, profiles, set_name, shingle_sets, signatures
 
 BLOCK_BYTES, BUCKET_ENTRIES, SMALL_REGION = 2 << 20, 400_000, 512
-#: Sets of a region whose profiles one task compares.
-SIEVE_PART = 1024
+#: Sets of a region whose profiles one task compares; the sets of a region of more parts than ``SIEVE_PARTS`` all go on.
+SIEVE_PART, SIEVE_PARTS = 4096, 16
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+#: Large regions are dealt again by their pivots so many times; what is large then is joined in pairs of parts.
+MOST_LEVELS = 8
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("profile", pa.binary())])
 NEAR = pa.schema([("p", pa.int64()), ("x", pa.int64())])
 TEXT = pa.schema([("set", pa.int64()), ("body", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("p", pa.int64()), ("x", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_()), ("need", pa.int32()), ("delta", pa.list_(pa.int64()))])
-DOC, GROUP, LINK, LARGE = 0, 1, 0, 1
+DOC, GROUP, LOCAL, MANY = 0, 1, 2, 3
+LINK, LARGE = 0, 1
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -70,55 +74,70 @@ def prefix_length(n: np.ndarray, numerator: int, denominator: int) -> np.ndarray
     return n * (denominator - numerator) // numerator + 1
 
 
-def write_meeting(key: np.ndarray, which: np.ndarray, sets: np.ndarray) -> bytes:
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers byte by byte."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def write_meeting(key: np.ndarray, which: np.ndarray, many: np.ndarray, sets: np.ndarray) -> bytes:
+    """Entries of a block: ascending keys, the set (by place) and whether the block has other sets with the key."""
     used, which = np.unique(which, return_inverse=True)
-    planes = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    steps = np.diff(key, prepend=np.uint64(0))  # keys ascend
-    body = np.array([len(key), len(used)], "<i8").tobytes() + sets[used].astype("<i8").tobytes() + planes(steps).tobytes() + planes(which)[:4].tobytes()
+    steps = np.diff(key, prepend=np.uint64(0))
+    body = np.array([len(key), len(used)], "<i8").tobytes() + sets[used].astype("<i8").tobytes() + planes(steps).tobytes() + planes(which)[:4].tobytes() + many.astype(np.uint8).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def read_meeting(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+def read_meeting(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(body)
     n, used = np.frombuffer(data, "<i8", 2).tolist()
     sets = np.frombuffer(data, "<i8", used, 16)
     at = 16 + 8 * used
     steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
     which = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(steps, dtype=np.uint64), sets[which]
+    return np.cumsum(steps, dtype=np.uint64), sets[which], np.frombuffer(data, np.uint8, n, at + 12 * n) > 0
+
+
+def _met(kind: int, a, b, c, profile=None) -> pa.Table:
+    n = len(a)
+    return pa.table([pa.array(np.full(n, kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, c)), pa.nulls(n, pa.binary()) if profile is None else profile], schema=MET)
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """One bucket of keys: ``pivot, set, block`` for the sets of every group of two and more, each pair once. Rows of documents pass through."""
-    out, keys, sets, blocks = [], [], [], []
+    """One bucket of keys. For the groups of two sets and more: ``pivot, set, block`` where a block has one set with the key, each pair once, and
+    ``pivot, key, block`` where it has several; a key has one entry a block, however many sets there have it. Rows of documents and of a block's own groups
+    pass through."""
+    out, keys, sets, blocks, flags = [], [], [], [], []
     for kind, block, body in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "body"))):
+        raw = zstandard.ZstdDecompressor().decompress(body) if kind in (DOC, LOCAL) else None
         if kind == DOC:
-            raw = zstandard.ZstdDecompressor().decompress(body)
             n = len(raw) // (24 + CELLS)
             rows, held = np.frombuffer(raw, "<i8", 3 * n).reshape(-1, 3), raw[24 * n :]
-            profile = pa.array([held[CELLS * k : CELLS * (k + 1)] for k in range(n)], pa.binary())
-            out.append(pa.table([pa.array(np.full(n, DOC, np.int32)), *(pa.array(rows[:, k]) for k in range(3)), profile], schema=MET))
+            out.append(_met(DOC, rows[:, 0], rows[:, 1], rows[:, 2], pa.array([held[CELLS * k : CELLS * (k + 1)] for k in range(n)], pa.binary())))
+        elif kind == LOCAL:
+            key, own = np.frombuffer(raw, "<i8").reshape(2, -1)
+            out.append(_met(LOCAL, key, own, np.full(len(key), block)))
         else:
-            k, s = read_meeting(body)
+            k, s, f = read_meeting(body)
             keys.append(k)
             sets.append(s)
+            flags.append(f)
             blocks.append(np.full(len(k), block, np.int64))
     if keys:
-        key, which, block = np.concatenate(keys), np.concatenate(sets), np.concatenate(blocks)
+        key, which, block, many = map(np.concatenate, (keys, sets, blocks, flags))
         order = np.lexsort((block, which, key))
-        key, which, block = key[order], which[order], block[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (which[1:] != which[:-1])))
-        key, which, block = key[new], which[new], block[new]  # a set once a group, whatever the number of its documents
+        key, which, block, many = key[order], which[order], block[order], many[order]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(np.concatenate((heads, [len(key)])))
-        many = np.repeat(n > 1, n)
-        pivot, which, block = np.repeat(which[heads], n)[many], which[many], block[many]  # sets ascend within a key
-        order = np.lexsort((which, pivot))
+        pivot = np.repeat(which[heads], n)  # sets ascend within a key
+        met = np.repeat((np.maximum.reduceat(which, heads) != which[heads]) | np.logical_or.reduceat(many, heads), n)
+        one, several = met & ~many, met & many
+        out.append(_met(MANY, pivot[several], key[several].view(np.int64), block[several]))
+        pivot, which, block = pivot[one], which[one], block[one]
+        order = np.lexsort((block, which, pivot))
         pivot, which, block = pivot[order], which[order], block[order]
         new = np.ones(len(pivot), bool)
         new[1:] = (pivot[1:] != pivot[:-1]) | (which[1:] != which[:-1])
-        k = int(new.sum())
-        out.append(pa.table([pa.array(np.full(k, GROUP, np.int32)), pa.array(pivot[new]), pa.array(which[new]), pa.array(block[new]), pa.nulls(k, pa.binary())], schema=MET))
+        out.append(_met(GROUP, pivot[new], which[new], block[new]))
     return pa.concat_tables(out) if out else _table([], MET)
 
 
@@ -209,36 +228,34 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
                 rows = [(block % (1 << bits), block, DOC, zstandard.ZstdCompressor(level=1).compress(np.array(out, "<i8").tobytes() + b"".join(held)))]
                 if fresh[2]:
                     key, which, sets = np.concatenate(fresh[0]), np.concatenate(fresh[1]), np.array(fresh[2], np.int64)
-                    order = np.argsort(key, kind="stable")
+                    order = np.lexsort((sets[which], key))
                     key, which = key[order], which[order]
+                    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    n = np.diff(np.concatenate((heads, [len(key)])))
+                    shared = np.repeat(n > 1, n)
+                    if shared.any():
+                        body = np.concatenate((key[shared].view(np.int64), sets[which[shared]])).astype("<i8").tobytes()
+                        rows.append((block % (1 << bits), block, LOCAL, zstandard.ZstdCompressor(level=1).compress(body)))
+                    key, which, many = key[heads], which[heads], n > 1
                     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                    rows += [(int(bucket[a]), block, GROUP, write_meeting(key[a:b], which[a:b], sets)) for a, b in zip(cuts[:-1], cuts[1:])]
+                    rows += [(int(bucket[a]), block, GROUP, write_meeting(key[a:b], which[a:b], many[a:b], sets)) for a, b in zip(cuts[:-1], cuts[1:])]
                 yield from _table(rows, ENTRY).to_batches()
+        give_back()
 
     blocks = rows.mapInArrow(to_blocks, _sql(BLOCK))
     met = checkpointed(blocks.repartition(parts, "block").mapInArrow(enter, _sql(ENTRY)).groupBy("bucket").applyInArrow(meet, _sql(MET)))
     members = met.filter(F.col("kind") == DOC).select(
         F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("set")
     )
-    together = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("p"), F.col("b").alias("x")).distinct()
-    homes = met.filter(F.col("kind") == GROUP).groupBy(F.col("b").alias("x")).agg(F.min("c").alias("block"))
+    local = met.filter(F.col("kind") == LOCAL).select(F.col("a").alias("key"), F.col("b").alias("x"), F.col("c").alias("block"))
+    many = met.filter(F.col("kind") == MANY).select(F.col("a").alias("p"), F.col("b").alias("key"), F.col("c").alias("block"))
+    grouped = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("c").alias("block"))
+    grouped = checkpointed(grouped.unionByName(many.join(local, ["key", "block"]).select("p", "x", "block")).groupBy("p", "x").agg(F.min("block").alias("block")))
+    together = grouped.select("p", "x")
+    homes = grouped.groupBy("x").agg(F.min("block").alias("block"))
     shapes = met.filter((F.col("kind") == DOC) & (F.col("b") > 0)).groupBy(F.col("c").alias("x")).agg(F.min("b").alias("n"), F.min("profile").alias("profile"))
 
-    def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        want, out = set(wanted.column("x").to_pylist()), []
-        if not want or not table.num_rows:
-            return _table([], TEXT)
-        docs = docs_of(table)
-        for k in range(0, len(docs), TOGETHER):
-            texts = [t for _, t in docs[k : k + TOGETHER]]
-            for t, s in zip(texts, shingle_sets([t.decode() for t in texts], words)):
-                name = set_name(s) if len(s) else 0
-                if len(s) and name in want:
-                    want.discard(name)
-                    out.append((name, zstandard.ZstdCompressor(level=1).compress(t)))
-        return _table(out, TEXT)
-
     def sets_of(bodies):
         return shingle_sets([zstandard.ZstdDecompressor().decompress(b).decode() for b in bodies], words)
 
@@ -285,15 +302,18 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
         return groups.join(pivots, "g").select("p", "x").distinct()
 
     def in_parts(members: DataFrame, part: int) -> DataFrame:
-        """``p, i, j, part, x``: every two parts of a region together, each of about ``part`` sets."""
+        """``members`` and ``i, j, part``: every two parts of a region together, each of about ``part`` sets; a small region is one part."""
         sizes = members.groupBy("p").agg(F.ceil(F.count("*") / part).cast("int").alias("deals"))
         parts = members.join(sizes, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int"))
         parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
-        return parts.select("p", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "x")
+        return parts.select(*members.columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
 
     pairs = lambda rows: rows.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    shaped = in_parts(together, SIEVE_PART).join(shapes, "x")
-    near = checkpointed(shaped.groupBy("p", "i", "j").applyInArrow(sieve, _sql(NEAR)).distinct())
+    counts = together.groupBy("p").agg(F.count("*").alias("size"))
+    sized = together.join(counts, "p")
+    shaped = in_parts(sized.filter(F.col("size") <= SIEVE_PART * SIEVE_PARTS).select("p", "x"), SIEVE_PART).join(shapes, "x")
+    sieved = shaped.groupBy("p", "i", "j").applyInArrow(sieve, _sql(NEAR))
+    near = compact(checkpointed(sieved.unionByName(sized.filter(F.col("size") > SIEVE_PART * SIEVE_PARTS).select("p", "x")).distinct()))
     wanted = near.select("x").distinct().join(homes, "x")
 
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -312,34 +332,45 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
 
     texts = checkpointed(blocks.repartition(parts, "block").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, _sql(TEXT)))
     texts_of = lambda name: texts.select(F.col("set").alias(name), F.col("body").alias("text"))
-    sizes = near.groupBy("p").agg(F.count("*").alias("size"), F.min("x").alias("pivot"))
-    sized = near.join(sizes, "p")
-    small = sized.filter(F.col("size") <= small_region).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "x", F.col("x").alias("label"))
-    near_links = pairs(small.join(texts_of("x"), "x").groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))
-    large = sized.filter((F.col("size") > small_region) & (F.col("x") != F.col("pivot"))).select(F.col("pivot").alias("p"), "x").distinct()
-    deals = checkpointed(large).groupBy("p").agg(F.ceil(F.count("*") / small_region).cast("int").alias("deals"))
-    each = large.join(deals, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int")).join(texts_of("x"), "x").select("p", "salt", "x", "text")
-    heads = deals.select("p", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt")).join(texts_of("p"), "p")
-    heads = heads.select(F.col("p").alias("pivot"), F.col("salt").alias("deal"), F.col("text").alias("head"))
-    found = checkpointed(each.groupBy("p", "salt").cogroup(heads.groupBy("pivot", "deal")).applyInArrow(compare, _sql(FOUND)))
-    links, big = checkpointed(near_links.unionByName(pairs(found))), found
-    nearest = big.filter("not linked").groupBy("p").agg(F.min("d").alias("nearest"))
-    going = big.join(nearest, "p").filter(F.col("d") >= F.col("nearest") - F.lit(1 - numerator / denominator + 1e-9))  # the window
-    pieces = going.select("p", "x", "need", F.size("delta").alias("all"), F.explode("delta").alias("e"))
-    # Elements of one set alone come first in its order and meet nothing; the rest of the prefix is what they leave.
-    shared = pieces.withColumn("n", F.count("*").over(Window.partitionBy("p", "e"))).filter("n > 1")
-    own = Window.partitionBy("p", "x")
-    shared = shared.withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("some", F.count("*").over(own))
-    first = shared.filter(F.col("rank") + F.col("all") - F.col("some") <= F.col("need"))
-    again = checkpointed(first.select(F.xxhash64("p", "e").alias("g"), "x"))
-    if not again.isEmpty():
+    near, links, level = near.withColumn("label", F.col("x")), None, 0
+    while True:
+        level += 1
+        sized = near.join(near.groupBy("p").agg(F.count("*").alias("size"), F.min("x").alias("pivot")), "p")
+        leaf = sized.filter(F.col("size") <= small_region) if level < MOST_LEVELS else sized
+        dealt = in_parts(leaf.select("p", "x", "label"), small_region)
+        found = pairs(dealt.join(texts_of("x"), "x").groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))
+        large = sized.filter((F.col("size") > small_region) & (F.col("x") != F.col("pivot"))).select(F.col("pivot").alias("p"), "x").distinct() if level < MOST_LEVELS else None
+        if large is not None:
+            large = compact(checkpointed(large))
+        if large is None or large.isEmpty():
+            links = compact(checkpointed(found if links is None else links.unionByName(found)))
+            break
+        deals = large.groupBy("p").agg(F.ceil(F.count("*") / small_region).cast("int").alias("deals"))
+        each = large.join(deals, "p").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("deals")).cast("int")).join(texts_of("x"), "x").select("p", "salt", "x", "text")
+        heads = deals.select("p", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt")).join(texts_of("p"), "p")
+        heads = heads.select(F.col("p").alias("pivot"), F.col("salt").alias("deal"), F.col("text").alias("head"))
+        big = checkpointed(each.groupBy("p", "salt").cogroup(heads.groupBy("pivot", "deal")).applyInArrow(compare, _sql(FOUND)))
+        found = found.unionByName(pairs(big))
+        links = compact(checkpointed(found if links is None else links.unionByName(found)))
+        nearest = big.filter("not linked").groupBy("p").agg(F.min("d").alias("nearest"))
+        going = big.join(nearest, "p").filter(F.col("d") >= F.col("nearest") - F.lit(1 - numerator / denominator + 1e-9))  # the window
+        pieces = going.select("p", "x", "need", F.size("delta").alias("all"), F.explode("delta").alias("e"))
+        # Elements of one set alone come first in its order and meet nothing; the rest of the prefix is what they leave.
+        often = pieces.groupBy("p", "e").agg(F.count("*").alias("n")).filter("n > 1")
+        own = Window.partitionBy("p", "x")  # a set's difference
+        shared = pieces.join(often, ["p", "e"]).withColumn("rank", F.row_number().over(own.orderBy("n", "e"))).withColumn("some", F.count("*").over(own))
+        first = shared.filter(F.col("rank") + F.col("all") - F.col("some") <= F.col("need"))
+        again = compact(checkpointed(first.select(F.xxhash64("p", "e").alias("g"), "x")))
+        if again.isEmpty():
+            break
+        # Groups that links have joined already are done; the others are the regions of the next level.
         roots = components(links)
         labelled = again.join(roots, F.col("x") == F.col("node"), "left").select("g", "x", F.coalesce("root", "x").alias("label"))
         open_groups = labelled.groupBy("g").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("g")
-        dealt = in_parts(regions(again.join(open_groups, "g", "left_semi")), small_region)
-        dealt = dealt.join(roots, F.col("x") == F.col("node"), "left").select("p", "i", "j", "part", "x", F.coalesce("root", "x").alias("label"))
-        dealt = dealt.join(texts_of("x"), "x")
-        links = checkpointed(links.unionByName(pairs(dealt.groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))))
+        after = regions(again.join(open_groups, "g", "left_semi")).join(roots, F.col("x") == F.col("node"), "left")
+        near = compact(checkpointed(after.select("p", "x", F.coalesce("root", "x").alias("label"))))
+        if near.isEmpty():
+            break
     return members, links
 
 
