@@ -83,9 +83,12 @@ def apply_results(target: DataFrame, results: DataFrame, plan: DataFrame | None
         notes = plan.select(F.col("id").alias("__id"), L.normalized(F.col("language")).alias("lang"), F.coalesce("target_comment", "source_comment").alias("note"))
         fresh = fresh.join(notes, ["__id", "lang"], "left")
     homes = rows.groupBy("lang").agg(F.min("resource_ord").alias("home"), F.max("entry_ord").alias("last"))
-    fresh = fresh.join(homes, "lang", "left")
+    # A language that the target lacks becomes a resource of its own, behind the others.
+    after = rows.agg((F.coalesce(F.max("resource_ord"), F.lit(-1)) + 1).alias("next"))  # one row
+    places = fresh.select("lang").distinct().join(homes, "lang", "left_anti").withColumn("place", F.row_number().over(Window.orderBy("lang")) - 1).crossJoin(F.broadcast(after))  # languages alone
+    fresh = fresh.join(homes, "lang", "left").join(places.select("lang", (F.col("place") + F.col("next")).alias("__own")), "lang", "left")
     values = {
-        "resource_ord": F.coalesce("home", F.lit(0)),
+        "resource_ord": F.coalesce("home", "__own"),
         "entry_ord": F.coalesce("last", F.lit(0)) + 1,
         "language": F.col("new_language"),
         "id": F.col("__id"),

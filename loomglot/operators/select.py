@@ -84,6 +84,14 @@ def status_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("language", "status").agg(F.count("*").alias("matches"))
 
 
+def view_summary(entries: DataFrame) -> DataFrame:
+    """One row: ``total_matches``, the sorted ``languages`` and, as a map, how many entries each of the ``statuses`` has."""
+    counts = status_counts(entries)
+    statuses = counts.groupBy("status").agg(F.sum("matches").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("statuses"))  # five at most
+    total = counts.agg(F.coalesce(F.sum("matches"), F.lit(0)).alias("total_matches"), F.array_sort(F.collect_set("language")).alias("languages"))
+    return total.crossJoin(F.broadcast(statuses))  # one row
+
+
 def non_empty_resources(resources: DataFrame, entries: DataFrame) -> DataFrame:
     """Resources that have entries."""
     return resources.join(entries.select("resource_ord").distinct(), "resource_ord", "left_semi")

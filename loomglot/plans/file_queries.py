@@ -294,3 +294,11 @@ def text_functions(spark, sf_dir):
         F.array_join(F.map_values(texts.provenance(custom, "p.")), ",").alias("origin"),
         texts.escaped_newlines(raw).alias("escaped"),
     )
+
+
+@query(""" SELECT (SELECT count(*) FROM docs_cat) AS total_matches, (SELECT string_agg(language, ',' ORDER BY language) FROM (SELECT DISTINCT language FROM docs_cat) l) AS languages,
+(SELECT string_agg(status || '=' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM docs_cat GROUP BY status) s) AS statuses""", "docs_cat")
+def view_summary(spark, sf_dir):
+    rows = select.view_summary(derived(spark, sf_dir, "docs_cat"))
+    shown = F.array_join(F.transform(F.map_entries("statuses"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return rows.select("total_matches", F.array_join("languages", ",").alias("languages"), shown.alias("statuses"))

@@ -5,6 +5,7 @@ Files are parsed whole, by executors, as their formats need; a catalog of many f
 
 from __future__ import annotations
 
+import functools
 import glob
 import os
 import re
@@ -22,6 +23,8 @@ from . import android, apple_strings, json_maps, string_catalog, xliff
 from .model import Entry, Resource, decoded
 from .tables import parse_table, render_table
 
+#: Fixed value: keys of ``custom`` that tell where a resource comes from begin so.
+PROVENANCE = "provenance."
 #: Resources of one file are numbered within this step.
 PER_FILE = 1 << 20
 
@@ -99,14 +102,53 @@ def named_format(name: str) -> str:
 
 
 def expand(patterns: list[str]) -> list[str]:
-    """Paths for patterns, each once, sorted within a pattern; a pattern that matches nothing stays as it is."""
+    """Paths for patterns, each once, sorted within a pattern, without files that ignore files name; a plain path, and a pattern that matches nothing, stays as it is."""
     out: list[str] = []
     for pattern in patterns:
-        found = {p for one in _alternatives(pattern) for p in glob.glob(one, recursive=True)}
-        out += sorted(found) or [pattern]
+        if not re.search(r"[*?\[{]", pattern):
+            out.append(pattern)
+            continue
+        found = {p for one in _alternatives(pattern) for p in glob.glob(one, recursive=True, include_hidden=True)}
+        out += sorted(p for p in found if not ignored(p)) or [pattern]
     return list(dict.fromkeys(out))
 
 
+@functools.lru_cache(maxsize=4096)
+def _ignore_rules(folder: str, stamp: tuple) -> list[tuple[re.Pattern, bool, bool]]:
+    """Rules of a folder's ignore files in their order: pattern over paths below the folder, whether it takes back, whether it is for folders alone."""
+    rules = []
+    for name, _ in stamp:
+        with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+            for line in (x.rstrip("\n") for x in f):
+                rule = line.rstrip() if not line.endswith("\\ ") else line
+                if not rule or rule.startswith("#"):
+                    continue
+                back, rule = rule.startswith("!"), rule.removeprefix("!")
+                folders, rule = rule.endswith("/"), rule.rstrip("/")
+                anchored = "/" in rule
+                body = re.escape(rule.lstrip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"/\*\*", "/.*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+                rules.append((re.compile(("" if anchored else "(?:.*/)?") + body), back, folders))
+    return rules
+
+
+def ignored(path: str) -> bool:
+    """Whether ``.gitignore`` or ``.ignore`` files in the folders above leave a file out. The nearest folder's last matching rule counts; what lies in an ignored
+    folder is ignored."""
+    full = os.path.abspath(path)
+    parts = full.split(os.sep)
+    for depth in range(2, len(parts) + 1):  # each folder on the way, then the file itself
+        target, decided = os.sep.join(parts[:depth]), False
+        for k in range(1, depth):
+            folder = os.sep.join(parts[:k]) or os.sep
+            stamp = tuple((n, os.stat(os.path.join(folder, n)).st_mtime_ns) for n in (".gitignore", ".ignore") if os.path.isfile(os.path.join(folder, n)))
+            for rule, back, folders in _ignore_rules(folder, stamp) if stamp else ():
+                if rule.fullmatch(os.sep.join(parts[k:depth])) and (not folders or depth < len(parts)):
+                    decided = not back
+        if decided:
+            return True
+    return False
+
+
 def _alternatives(pattern: str) -> list[str]:
     """``a{b,c}`` as ``ab`` and ``ac``."""
     m = re.search(r"\{([^{}]*)\}", pattern)
@@ -133,8 +175,9 @@ def parse_file(path: str, content: bytes, format: str | None = None, language: s
 PARSED = T.StructType([*ENTRIES.fields, T.StructField("source_path", T.StringType())])
 
 
-def parsed(files: DataFrame, format: str | None = None, language: str | None = None, strict: bool = False, keep: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``resources, entries`` of files given as ``path, content`` (binary), in the order of their paths.
+def parsed(files: DataFrame, format: str | None = None, language: str | None = None, strict: bool = False, keep: bool = True, provenance: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``resources, entries`` of files given as ``path, content`` (binary), in the order of their paths. With ``provenance``, resources say in ``custom`` where
+    they come from (path, format and language).
 
     Each file is parsed once: both outputs are parts of one frame, which is kept in memory and on disk when ``keep`` is set. Paths are ranked by
     Spark; contents take no part in that.
@@ -146,8 +189,11 @@ def parsed(files: DataFrame, format: str | None = None, language: str | None = N
         for batch in batches:
             for path, content, rank in zip(batch["path"], batch["content"], batch["rank"]):
                 out = []
-                for k, r in enumerate(parse_file(re.sub(r"^file:/+", "/", path), bytes(content), format, language, strict)):
+                plain = re.sub(r"^file:/+", "/", path)
+                for k, r in enumerate(parse_file(plain, bytes(content), format, language, strict)):
                     ord_ = int(rank) * PER_FILE + k
+                    if provenance:
+                        r.custom |= {PROVENANCE + "source_path": plain, PROVENANCE + "source_format": r.custom["format"], PROVENANCE + "source_language": r.language}
                     out.append((ord_, None, r.language, r.domain, *[None] * 7, r.custom, path))
                     out += [(ord_, n, r.language, r.domain, e.id, e.kind, e.text, e.plural_id, e.forms, e.comment, e.status, e.custom, None) for n, e in enumerate(r.entries)]
                 frame = pd.DataFrame(out, columns=PARSED.names)
@@ -159,9 +205,9 @@ def parsed(files: DataFrame, format: str | None = None, language: str | None = N
     return both.filter("entry_ord is null").select(*RESOURCES.names), both.filter("entry_ord is not null").select(*ENTRIES.names)
 
 
-def read_catalog(spark: SparkSession, paths: list[str], format: str | None = None, language: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_catalog(spark: SparkSession, paths: list[str], format: str | None = None, language: str | None = None, strict: bool = False, provenance: bool = False) -> tuple[DataFrame, DataFrame]:
     """``resources, entries`` of files, in the order of their paths."""
-    return parsed(spark.read.format("binaryFile").load(paths), format, language, strict)
+    return parsed(spark.read.format("binaryFile").load(paths), format, language, strict, provenance=provenance)
 
 
 def formats_match(a: str, b: str, language_of_a: str | None = None, language_of_b: str | None = None) -> bool:

@@ -29,14 +29,45 @@ def entry_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
     return files.select("path", F.unix_micros("modificationTime").alias("at"), "content").mapInPandas(rows, ENTRIES)
 
 
+def _runs(spark: SparkSession, table: str) -> dict[tuple[int, int], str]:
+    """The finished runs of a table: first and last batch, and folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(folder)]  # as many as the logarithm of the batches, twice at most
+    found = {m: f"{table}/{n}" for n in names if (m := re.fullmatch(r"run-(\d+)-(\d+)", n))}
+    return {(int(m[1]), int(m[2])): f for m, f in found.items() if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))}
+
+
+def _live(runs: dict[tuple[int, int], str]) -> dict[tuple[int, int], str]:
+    """Runs that no wider run covers."""
+    return {k: f for k, f in runs.items() if not any(o != k and o[0] <= k[0] and k[1] <= o[1] for o in runs)}
+
+
+def merged_table(spark: SparkSession, table: str) -> DataFrame:
+    """The last entry of each language and key in a table that ``keep_merged`` keeps."""
+    live = _live(_runs(spark, table))
+    rows = spark.read.schema(ENTRIES).parquet(*live.values()) if live else spark.createDataFrame([], ENTRIES)
+    return latest(rows, "language", "id")
+
+
 def keep_merged(stream: DataFrame, table: str, checkpoint: str):
-    """Keep a Parquet table of the last entry of each language and key: every batch is merged with the table and written beside it, then takes its place by
-    number, so a batch that runs twice gives the same table."""
+    """Keep a Parquet table of the last entry of each language and key, as runs of batches: as in a binary counter, batch n is merged with the runs behind it whose
+    batches its lowest bits count, so a row is written again as often as the logarithm of the number of batches, and not with every batch. A run
+    that is done is not written again, so a batch that runs twice gives the same table; runs that a wider one covers are removed after it."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{table}/{number - 1}"))
-        latest(rows, "language", "id").write.mode("overwrite").parquet(f"{table}/{number}")
+        spark, n = batch.sparkSession, number + 1
+        first, runs = n - (n & -n) + 1, _runs(batch.sparkSession, table)
+        if (first, n) not in runs:
+            behind = [f for (a, b), f in _live(runs).items() if a >= first and b < n]
+            rows = batch.unionByName(spark.read.schema(ENTRIES).parquet(*behind)) if behind else batch
+            latest(rows, "language", "id").write.mode("overwrite").parquet(f"{table}/run-{first}-{n}")
+        done = _runs(spark, table)
+        for k, f in done.items():
+            if k not in _live(done):
+                path = spark._jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -29,6 +29,14 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["edit", str(a), "--key", "k", "--text", "Hi", "--language", "en", "--output", str(out), "--format", "resources"]) == 0
     assert main(["convert", str(a), "--include", "fr", "--output", str(out), "--format", "android"]) == 0
     assert (out / "fr.xml").exists() and not (out / "en.xml").exists()
+    lines(capsys)
+    assert main(["view", str(a), "--language", "fr", "--keys-only", "--summary"]) == 0
+    assert lines(capsys)[0] == {"total_matches": 2, "languages": ["fr"], "statuses": {"translated": 2}}
+    assert main(["translate", str(a), "--source", "en", "--targets", "de", "--backend", "operator:add", "--output", str(out), "--format", "csv", "--name", "t.csv"]) == 0
+    assert lines(capsys) == [{"reason": "job", "n": 2}]
+    assert (out / "t.csv").read_text() == "key,de,en,fr\nk,Hello %@de,Hello %@,Bonjour\nonly,xde,x,\n"
+    assert main(["annotate", str(a), "--backend", "operator:add", "--output", str(out), "--format", "xcstrings", "--name", "n.xcstrings"]) == 0
+    assert json.loads((out / "n.xcstrings").read_text())["strings"]["only"]["comment"] == "xen"
     assert main(["merge", str(a), "--strategy", "odd", "--output", str(out), "--format", "csv"]) == 2
 
 

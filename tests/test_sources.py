@@ -169,7 +169,7 @@ def test_spark_conversion(spark, tmp_path):
 
 
 def test_streaming(spark, tmp_path):
-    from loomglot.streaming.ingest import entry_stream, keep_merged
+    from loomglot.streaming.ingest import entry_stream, keep_merged, merged_table
 
     folder = tmp_path / "drop"
     folder.mkdir()
@@ -177,5 +177,28 @@ def test_streaming(spark, tmp_path):
     keep_merged(entry_stream(spark, str(folder), "*.csv"), str(tmp_path / "table"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     (folder / "two.csv").write_text("key,en,fr\na,z,y\nb,q,r\n")
     keep_merged(entry_stream(spark, str(folder), "*.csv"), str(tmp_path / "table"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "table" / "1"))
+    rows = merged_table(spark, str(tmp_path / "table"))
     assert {(r["language"], r["id"]): r["text"] for r in rows.collect()} == {("en", "a"): "z", ("fr", "a"): "y", ("en", "b"): "q", ("fr", "b"): "r"}
+    assert [p.name for p in (tmp_path / "table").iterdir()] == ["run-1-2"]
+    (folder / "three.csv").write_text("key,en,fr\nb,new,r\n")
+    keep_merged(entry_stream(spark, str(folder), "*.csv"), str(tmp_path / "table"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {p.name for p in (tmp_path / "table").iterdir()} == {"run-1-2", "run-3-3"}
+    assert {(r["language"], r["id"]): r["text"] for r in merged_table(spark, str(tmp_path / "table")).collect()}[("en", "b")] == "new"
+
+
+def test_ignore_files(tmp_path):
+    for name in ("a.csv", "b.csv", "out/c.csv", "deep/d.csv", "deep/keep.csv", "deep/x/e.tsv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("key,en\n")
+    (tmp_path / ".gitignore").write_text("# made\nout/\nb.*\n/deep/*.csv\n")
+    (tmp_path / "deep" / ".ignore").write_text("!keep.csv\n")
+    found = [p.removeprefix(f"{tmp_path}/") for p in files.expand([f"{tmp_path}/**/*.{{csv,tsv}}", f"{tmp_path}/b.csv"])]
+    assert found == ["a.csv", "deep/keep.csv", "deep/x/e.tsv", "b.csv"]
+
+
+def test_provenance(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("key,en,fr\nk,a,b\n")
+    resources, entries = files.read_catalog(spark, [str(tmp_path / "t.csv")], provenance=True)
+    rows = {r["language"]: r["custom"] for r in resources.collect()}
+    assert rows["fr"]["provenance.source_path"] == str(tmp_path / "t.csv") and rows["fr"]["provenance.source_format"] == "csv" and rows["en"]["provenance.source_language"] == "en"
+    assert entries.count() == 2
