@@ -1,6 +1,7 @@
 """Removal of passages that an earlier document holds, by joining fingerprints of a cover sample of suffixes.
 
-Suffixes are grouped by 64-bit names and never put in their order; names are not checked against bytes.
+Suffixes are grouped by names and never put in their order. Names are not checked against bytes: the surroundings of a sampled suffix have 64 bits
+(besides those of its core), a string has 88, of two independent kinds.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. Two suffixes that agree on
 ``length`` bytes are told apart, or found tied, by a sample of suffixes that covers them: in every ``length``-byte string the sample holds
@@ -36,8 +37,9 @@ from .common import doc_text, documents, small_batches
 LENGTH, CORE = 50, 26
 BLOCK_BYTES, SLICE_BYTES, BUCKET_ENTRIES = 2 << 20, 1 << 18, 150_000
 NULL_ID = -(1 << 63)
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+#: Bytes of a second name that travel with the first, by level: of the surroundings of a sampled suffix, and of a string by itself.
+CONTEXT_BYTES = {1: 8, 2: 3}
+MULTIPLIERS = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 MANY_DOCS = 1
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 OUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(SPAN))])
@@ -52,12 +54,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+LETTERS = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0xD1342543DE82EF95, 0xA24BAED4963EE407)]
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, MULTIPLIER, np.uint64), np.full(n, INVERSE, np.uint64)
+@functools.lru_cache(maxsize=2)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, MULTIPLIERS[which], np.uint64), np.full(n, pow(MULTIPLIERS[which], -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -71,10 +73,9 @@ class Slice:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         n = len(self.text)
-        size = 1 << max(20, int(n + 1).bit_length())
-        self.up, down = _powers(size)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(LETTERS[self.text] * down[:n], out=self.sums[1:])
+        self.size = 1 << max(20, int(n + 1).bit_length())
+        self.up, self.sums = self._sums(0)
+        self.second: tuple[np.ndarray, np.ndarray] | None = None
         self.length = length
         empty = np.zeros(0, np.int64)
         self.at = self.first = self.last = empty
@@ -100,9 +101,21 @@ class Slice:
         self.last = inside[np.concatenate((heads[1:], [len(inside)])) - 1]
         self.rank = rank[self.at]
 
+    def _sums(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _powers(self.size, which)
+        sums = np.zeros(len(self.text) + 1, np.uint64)
+        np.cumsum(LETTERS[which][self.text] * down[: len(self.text)], out=sums[1:])
+        return up, sums
+
     def names(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sums[stop] - self.sums[start]) * self.up[start])
 
+    def second_names(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Names of another kind, which share nothing with the first."""
+        self.second = self.second or self._sums(1)
+        up, sums = self.second
+        return mix((sums[stop] - sums[start]) * up[start])
+
     def contexts(self) -> np.ndarray:
         """One name for all the strings a sampled suffix stands for, and where it stands in them."""
         whole = self.names(self.first, self.last + self.length)
@@ -112,11 +125,11 @@ class Slice:
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
-    def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and names of the strings that the chosen sampled suffixes stand for."""
+    def strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and both names of the strings that the chosen sampled suffixes stand for."""
         first, n = self.first[chosen], (self.last - self.first)[chosen] + 1
         start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return start, self.names(start, start + self.length)
+        return start, self.names(start, start + self.length), self.second_names(start, start + self.length)
 
 
 def slices(docs: list[tuple[int, bytes]]):
@@ -133,8 +146,9 @@ def slices(docs: list[tuple[int, bytes]]):
 
 
 def key_bits(bucket_bits: int) -> int:
-    """Bits of a name besides its bucket that travel along."""
-    return min(48, 64 - bucket_bits)
+    """Bits of a core's name besides its bucket that travel along. A bucket has some 2^18 names, so few cores share one by chance; where they do, their surroundings
+    tell them apart."""
+    return min(34, 64 - bucket_bits)
 
 
 def keyed(names: np.ndarray, bucket_bits: int) -> np.ndarray:
@@ -153,33 +167,33 @@ def _unplanes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def write_body(key: np.ndarray, context: np.ndarray | None, doc: np.ndarray, flag: np.ndarray) -> bytes:
-    """Entries as a compressed block: steps between keys (8 bytes), contexts (6 bytes), ids (steps in a table, and places), flags."""
+def write_body(key: np.ndarray, context: np.ndarray | None, width: int, doc: np.ndarray, flag: np.ndarray) -> bytes:
+    """Entries as a compressed block: steps between keys (8 bytes), contexts (``width`` bytes), ids (steps in a table, and places), flags."""
     ids, which = np.unique(doc, return_inverse=True)
-    head = np.array([len(key), len(ids), context is not None], "<i8").tobytes()
+    head = np.array([len(key), len(ids), width], "<i8").tobytes()
     steps = lambda x: _planes(np.diff(x.astype(np.int64).view(np.uint64), prepend=np.uint64(0)), 8)
-    parts = [head, steps(ids), steps(key), _planes(context, 6) if context is not None else b"", _planes(which.astype(np.uint64), 4), flag.astype(np.uint8).tobytes()]
+    parts = [head, steps(ids), steps(key), _planes(context, width) if width else b"", _planes(which.astype(np.uint64), 4), flag.astype(np.uint8).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def read_body(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = memoryview(zstandard.ZstdDecompressor().decompress(body))
-    n, n_ids, has_context = np.frombuffer(data, "<i8", 3).tolist()
+    n, n_ids, width = np.frombuffer(data, "<i8", 3).tolist()
     ids = np.cumsum(_unplanes(data[24:], n_ids, 8)).view(np.int64)
     at = 24 + 8 * n_ids
     key = np.cumsum(_unplanes(data[at:], n, 8))
     at += 8 * n
     context = np.zeros(n, np.uint64)
-    if has_context:
-        context = _unplanes(data[at:], n, 6)
-        at += 6 * n
+    if width:
+        context = _unplanes(data[at:], n, width)
+        at += width * n
     which = _unplanes(data[at:], n, 4)
     return key, context, ids[which.astype(np.int64)], np.frombuffer(data, np.uint8, n, at + 4 * n)
 
 
-def pair(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """One name for a key and a context."""
-    return mix(key * np.uint64(0xA0761D6478BD642F) + (context & np.uint64((1 << 48) - 1)) + np.uint64(1))
+def pair(key: np.ndarray, context: np.ndarray, level: int) -> np.ndarray:
+    """One name for a key and what of a context travels along."""
+    return mix(mix(key * np.uint64(0xA0761D6478BD642F) + np.uint64(1)) + (context & np.uint64((1 << 8 * CONTEXT_BYTES[level]) - 1)))
 
 
 def heads_of(*columns: np.ndarray) -> np.ndarray:
@@ -196,11 +210,11 @@ def spread(heads: np.ndarray, total: int) -> np.ndarray:
     return np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [total]))))
 
 
-def dealt(block: int, level: int, key: np.ndarray, context: np.ndarray | None, doc: np.ndarray, shift: int) -> list[tuple]:
+def dealt(block: int, level: int, key: np.ndarray, context: np.ndarray, doc: np.ndarray, shift: int) -> list[tuple]:
     """A block's entries, one a key and context, as rows by suffix bucket: the bits of the key above ``shift``."""
     if not len(key):
         return []
-    held = np.zeros(len(key), np.uint64) if context is None else context & np.uint64((1 << 48) - 1)
+    held = context & np.uint64((1 << 8 * CONTEXT_BYTES[level]) - 1)
     order = np.lexsort((doc, held, key))
     key, held, doc = key[order], held[order], doc[order]
     heads = heads_of(key, held)
@@ -208,7 +222,7 @@ def dealt(block: int, level: int, key: np.ndarray, context: np.ndarray | None, d
     key, held, doc = key[heads], held[heads], doc[heads]
     bucket = (key >> np.uint64(shift)).astype(np.int64)  # ascending, as the keys are
     cuts = np.append(heads_of(bucket), len(bucket))
-    return [(int(bucket[a]), block, level, write_body(key[a:b], None if context is None else held[a:b], doc[a:b], flag[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [(int(bucket[a]), block, level, write_body(key[a:b], held[a:b], CONTEXT_BYTES[level], doc[a:b], flag[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def settle(table: pa.Table) -> pa.Table:
@@ -236,11 +250,11 @@ def settle(table: pa.Table) -> pa.Table:
         least = np.minimum.reduceat(doc, by_both)[of_both]
         many = many[of_key]
         tell = shared[of_key] & (many | (least < doc) | (flag > 0))
-        name, source, answer, many = pair(key[tell], context[tell]), source[tell], least[tell], many[tell]
+        name, source, answer, many = pair(key[tell], context[tell], level), source[tell], least[tell], many[tell]
         back = np.lexsort((name, source))
         name, source, answer, many = name[back], source[back], answer[back], many[back]
         cuts = np.append(heads_of(source), len(source)) if len(source) else []
-        rows += [(blocks[mine[source[a]]], level, write_body(name[a:b], None, answer[a:b], many[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        rows += [(blocks[mine[source[a]]], level, write_body(name[a:b], None, 0, answer[a:b], many[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table([pa.array(x, f.type) for x, f in zip(list(zip(*rows)) or [[], [], []], ANSWER)], schema=ANSWER)
 
 
@@ -290,7 +304,7 @@ def cut_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     A span can begin or end within a character, so ``kept`` is binary. Texts are UTF-8 bytes, null counts as empty; strings never cross rows. A byte is removed if a ``length``-byte string over it
     also starts in a row with a smaller id; rows of one id don't remove from one another, and a null id is smaller
     than every other. Strings are judged on the input. Texts shorter than ``length`` stay whole. An empty table gives no
-    rows; other columns are ignored. Strings are known by 64-bit names.
+    rows; other columns are ignored. Strings are known by names of 64 bits beside those of their core, and of 88 bits. A row is one unit of work: memory is about ten times its length.
     """
     rows = doc_text(df, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -324,16 +338,17 @@ def cut_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
         out = []
         if blocks.num_rows and len(known):
             block = blocks.column("block")[0].as_py()
-            keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, seconds, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for run in slices(docs_of(blocks)):
                 piece = Slice([t for _, t in run], length, core)
                 ids = np.array([k for k, _ in run], np.int64)
-                hit, place = _look(known, pair(keyed(piece.rank, bits), piece.contexts()))
+                hit, place = _look(known, pair(keyed(piece.rank, bits), piece.contexts(), 1))
                 first = (many[place] > 0) & (least[place] == ids[piece.owner(piece.at[hit])])
-                start, names = piece.strings(hit[first])  # each context is looked at in one document
+                start, names, others = piece.strings(hit[first])  # each context is looked at in one document
                 keys.append(names)
+                seconds.append(others)
                 docs.append(ids[piece.owner(start)])
-            out = dealt(block, 2, np.concatenate(keys), None, np.concatenate(docs), 64 - bits)
+            out = dealt(block, 2, np.concatenate(keys), np.concatenate(seconds), np.concatenate(docs), 64 - bits)
             out += [(block % (1 << bits), block, 0, body) for body in answers.column("body").to_pylist()]
         return entries(out)
 
@@ -345,13 +360,13 @@ def cut_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
             piece = Slice([t for _, t in run], length, core)
             ids = np.array([k for k, _ in run], np.int64)
             edge = np.zeros(len(piece.text) + 1, np.int32)
-            hit, place = _look(known, pair(keyed(piece.rank, bits), piece.contexts()))
+            hit, place = _look(known, pair(keyed(piece.rank, bits), piece.contexts(), 1))
             earlier = least[place] < ids[piece.owner(piece.at[hit])]
             gone = hit[earlier]
             np.add.at(edge, piece.first[gone], 1)
             np.add.at(edge, piece.last[gone] + length, -1)
-            start, names = piece.strings(hit[~earlier & (many[place] > 0)])
-            told, where = _look(strings, pair(names, np.zeros(len(names), np.uint64)))
+            start, names, others = piece.strings(hit[~earlier & (many[place] > 0)])
+            told, where = _look(strings, pair(names, others, 2))
             start = start[told][least_of[where] < ids[piece.owner(start[told])]]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + length, -1)

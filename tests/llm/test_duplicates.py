@@ -61,6 +61,22 @@ def test_jaccard_components(spark, monkeypatch, small_region, words, numerator,
     assert as_rows(jaccard_join.jaccard_components(df, words, numerator, denominator)) == brute_components(rows, words, numerator, denominator)
 
 
+def test_jaccard_many_sets_of_one_template(spark, monkeypatch):
+    """Two thousand pages of one template, hundreds of links among them: as one region that the sieve lets pass whole, level after level."""
+    monkeypatch.setattr(jaccard_join, "SIEVE_PARTS", 0)
+    rnd = random.Random(5)
+    head = " ".join(f"t{k}" for k in range(120))
+    own = [[f"o{i}_{k}" for k in range(40)] for i in range(300)]
+    rows = []
+    for i in range(2000):
+        words = list(own[i % 300])
+        for _ in range(rnd.choice([0, 1, 2, 30])):
+            words[rnd.randrange(40)] = f"n{rnd.randrange(10**6)}"
+        rows.append((i, head + " " + " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_rows(jaccard_join.jaccard_components(df, 3, 90, 100)) == brute_components(rows, 3, 90, 100)
+
+
 def test_jaccard_query(spark, texts):
     assert as_rows(queries.QUERIES["op2_jaccard_join"](spark, DATA)) == brute_components(texts, 3, 90, 100)
 
