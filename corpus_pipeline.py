@@ -23,13 +23,19 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: learn from the labels of these documents, drop those it rejects."""
+    """Quality classifier: learn from the labels of these documents, drop those it rejects.
+
+    Null and empty texts are scored by their statistics; null ids have no label; repeated rows stay or go together; without labels nothing is dropped.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality.score(docs.select(*COLUMNS), quality.fit(docs, labels)).filter("predicted = 1").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: lines that too many documents of one source hold go from all of them; the documents stay."""
+    """Line dedup: lines that too many documents of one source hold go from all of them; the documents stay.
+
+    Null texts stay null; null sources form one host; every row, repeated or not, is a page of its source.
+    """
     return _documents(line_dedup.drop_boilerplate(docs.select(*COLUMNS)))
 
 
@@ -44,12 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: every span found is replaced by its kind in brackets."""
+    """PII: every span found is replaced by its kind in brackets; null texts stay null, and every row stays."""
     return _documents(pii.redact(docs.select(*COLUMNS)))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: pieces of documents in windows of 2048 tokens, with their token ids."""
+    """Packing: pieces of documents in windows of 2048 tokens, with their token ids. Null and empty texts are an end token alone, null ids stand first,
+    repeated rows are documents of their own."""
     return packing.pack_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
