@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, documents, strip_ascii_space
+from .common import checkpointed, doc_text, documents, strip_ascii_space
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
@@ -55,7 +55,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         pieces = F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("recipe"), c).alias("b"), c.alias("text")))
     recipes = texts.select("doc_id", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), pieces.alias("recipe"))
     groups = recipes.groupBy("recipe").agg(F.min(F.struct((-F.col("n_chars")).alias("fewest"), "doc_id")).alias("best"), F.count("*").alias("size")).filter("size > 1")
-    groups = groups.select(F.col("recipe").alias("its"), F.col("best.doc_id").alias("best_id"), "size")
+    # Groups are written, so that the join has an exchange of its own on either side and a group of very many copies can be split among tasks.
+    groups = checkpointed(groups.select(F.col("recipe").alias("its"), F.col("best.doc_id").alias("best_id"), "size"))
     joined = recipes.join(groups, F.col("recipe") == F.col("its"), "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     return joined.select(

@@ -13,8 +13,8 @@
 5. A large region is dealt over many tasks, each with a pivot's text. Sets at most r from the pivot link to it, and through it to one another.
    Only sets that are not linked to it, and linked ones within r of them by distance, go on. Since x and y differ where their
    differences from the pivot differ, they meet again in groups by the first shingles of these differences, those rare in the region
-   first. Groups that links have joined already are done; the others form the regions of the next level, with pivots of their own, and so on. Regions
-   that are still large after ``MOST_LEVELS`` levels are joined in pairs of parts of bounded size.
+   first. Groups that links have joined already are done; the others form the regions of the next level, with pivots of their own, and so on. A region of a
+   few parts (or, after ``MOST_LEVELS`` levels, of any number) is then joined in pairs of parts of bounded size.
 
 Equal sets are one class throughout. Links are verified on the shingles of the texts; the components of verified links are those of
 all links.
@@ -43,6 +43,8 @@ BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 #: Large regions are dealt again by their pivots so many times; what is large then is joined in pairs of parts.
 MOST_LEVELS = 8
+#: From the second level on, a region of up to so many parts is joined in pairs of its parts and not dealt again.
+LEAF_PARTS = 8
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("profile", pa.binary())])
 NEAR = pa.schema([("p", pa.int64()), ("x", pa.int64())])
 TEXT = pa.schema([("set", pa.int64()), ("body", pa.binary())])
@@ -336,10 +338,11 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     while True:
         level += 1
         sized = near.join(near.groupBy("p").agg(F.count("*").alias("size"), F.min("x").alias("pivot")), "p")
-        leaf = sized.filter(F.col("size") <= small_region) if level < MOST_LEVELS else sized
+        bound = small_region * (1 if level == 1 else LEAF_PARTS)
+        leaf = sized.filter(F.col("size") <= bound) if level < MOST_LEVELS else sized
         dealt = in_parts(leaf.select("p", "x", "label"), small_region)
         found = pairs(dealt.join(texts_of("x"), "x").groupBy("p", "i", "j").applyInArrow(compare_parts, _sql(FOUND)))
-        large = sized.filter((F.col("size") > small_region) & (F.col("x") != F.col("pivot"))).select(F.col("pivot").alias("p"), "x").distinct() if level < MOST_LEVELS else None
+        large = sized.filter((F.col("size") > bound) & (F.col("x") != F.col("pivot"))).select(F.col("pivot").alias("p"), "x").distinct() if level < MOST_LEVELS else None
         if large is not None:
             large = compact(checkpointed(large))
         if large is None or large.isEmpty():
