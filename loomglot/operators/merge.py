@@ -19,10 +19,11 @@ def merge(entries: DataFrame, strategy: str = "last") -> DataFrame:
     key = Window.partitionBy("language", "id")
     order = key.orderBy(*(F.col(c).desc() if strategy == "last" else F.col(c) for c in INPUT_ORDER))
     spans = entries.groupBy("language").agg(F.min("resource_ord").alias("__first"), F.max("resource_ord").alias("__last"))
-    marked = entries.join(spans, "language").withColumn("__many", F.col("__first") != F.col("__last"))
-    marked = marked.withColumn("__n", F.count("*").over(key) if strategy == "skip" else F.row_number().over(order))
-    kept = marked.filter(~F.col("__many") | (F.col("__n") == 1))
-    return kept.withColumn("resource_ord", F.when(F.col("__many"), F.col("__first")).otherwise(F.col("resource_ord"))).select(entries.columns)
+    several = spans.filter(F.col("__first") != F.col("__last")).drop("__last")
+    # Only the languages that change are sorted, and of a key only the row that stays is kept on the way.
+    merged = entries.join(several, "language").withColumn("__n", F.count("*").over(key) if strategy == "skip" else F.row_number().over(order)).filter(F.col("__n") == 1)
+    untouched = entries.join(several.select("language"), "language", "left_anti").select(entries.columns)
+    return merged.withColumn("resource_ord", F.col("__first")).select(entries.columns).unionByName(untouched)
 
 
 def merged_languages(entries: DataFrame) -> DataFrame:
