@@ -62,14 +62,14 @@ def test_jaccard_components(spark, monkeypatch, small_region, words, numerator,
 
 
 def test_jaccard_many_sets_of_one_template(spark, monkeypatch):
-    """Two thousand pages of one template, hundreds of links among them: as one region that the sieve lets pass whole, level after level."""
+    """Pages of one template with many links among them: as one region that the sieve lets pass whole, level after level."""
     monkeypatch.setattr(jaccard_join, "SIEVE_PARTS", 0)
     rnd = random.Random(5)
     head = " ".join(f"t{k}" for k in range(120))
-    own = [[f"o{i}_{k}" for k in range(40)] for i in range(300)]
+    own = [[f"o{i}_{k}" for k in range(40)] for i in range(120)]
     rows = []
-    for i in range(2000):
-        words = list(own[i % 300])
+    for i in range(800):
+        words = list(own[i % 120])
         for _ in range(rnd.choice([0, 1, 2, 30])):
             words[rnd.randrange(40)] = f"n{rnd.randrange(10**6)}"
         rows.append((i, head + " " + " ".join(words)))
