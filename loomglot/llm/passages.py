@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document holds, by joining fingerprints of a cover sample of suffixes.
 
-Suffixes are grouped by names and never put in their order. Names are not checked against bytes: the surroundings of a sampled suffix have 64 bits
+Suffixes are grouped by names and never put in their order. Names are not checked against bytes: the surroundings of a sampled suffix have 56 bits
 (besides those of its core), a string has 88, of two independent kinds.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. Two suffixes that agree on
@@ -38,7 +38,7 @@ LENGTH, CORE = 50, 26
 BLOCK_BYTES, SLICE_BYTES, BUCKET_ENTRIES = 2 << 20, 1 << 18, 150_000
 NULL_ID = -(1 << 63)
 #: Bytes of a second name that travel with the first, by level: of the surroundings of a sampled suffix, and of a string by itself.
-CONTEXT_BYTES = {1: 8, 2: 3}
+CONTEXT_BYTES = {1: 7, 2: 3}
 MULTIPLIERS = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 MANY_DOCS = 1
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -304,7 +304,7 @@ def cut_passages(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     A span can begin or end within a character, so ``kept`` is binary. Texts are UTF-8 bytes, null counts as empty; strings never cross rows. A byte is removed if a ``length``-byte string over it
     also starts in a row with a smaller id; rows of one id don't remove from one another, and a null id is smaller
     than every other. Strings are judged on the input. Texts shorter than ``length`` stay whole. An empty table gives no
-    rows; other columns are ignored. Strings are known by names of 64 bits beside those of their core, and of 88 bits. A row is one unit of work: memory is about ten times its length.
+    rows; other columns are ignored. Strings are known by names of 56 bits beside those of their core, and of 88 bits. A row is one unit of work: memory is about ten times its length.
     """
     rows = doc_text(df, id_col, text_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
