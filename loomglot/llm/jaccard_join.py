@@ -6,8 +6,9 @@
 2. The least member of a group is its pivot. All groups of a pivot are its region; a set on a border lies in several regions. Every pair
    within the bound lies together in some region.
 3. Fixed pivots for all sets are 32 parts of the space. How far a set lies from each (its profile) bounds its distance from any other set
-   by the triangle inequality: the symmetric difference of two sets is at least the sum of the differences of their profiles. In regions of a few
-   parts, sets outside of the windows of all others leave, before any text is read.
+   by the triangle inequality: the symmetric difference of two sets is at least the sum of the differences of their profiles. Long sets that share nothing
+   have profiles alike, so each set has a sketch too, of a bit or more for each element: the difference of two sets is at least that of their sketches. In
+   regions of a few parts, sets outside of the windows of all others leave, before any text is read.
 4. A small region is joined by one task, pivot after pivot, on the shingles of the texts: with a pivot at distance d(x), x and y can link
    only if d(x) and d(y) differ by at most r = 1 - t, so each further pivot meets only the sets in its window.
 5. A large region is dealt over many tasks, each with a pivot's text. Sets at most r from the pivot link to it, and through it to one another.
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 from .common import checkpointed, compact, doc_text, documents, forget, give_back, small_batches
 from .components import components
 from .passages import NULL_ID, docs_of, pack_docs, unpack_docs
-from .shingles import CELLS, TOGETHER, profiles, set_name, shingle_sets, signatures
+from .shingles import CELLS, TOGETHER, Sketches, profiles, set_name, shingle_sets, signatures, sketch_bytes, sketches
 
 BLOCK_BYTES, BUCKET_ENTRIES, SMALL_REGION = 2 << 20, 400_000, 512
 #: Sets of a region whose profiles one task compares; the sets of a region of more parts than ``SIEVE_PARTS`` all go on.
@@ -46,6 +47,7 @@ MOST_LEVELS = 8
 #: From the second level on, a region of up to so many parts is joined in pairs of its parts and not dealt again.
 LEAF_PARTS = 8
 MET = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("profile", pa.binary())])
+TRIPLE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 NEAR = pa.schema([("p", pa.int64()), ("x", pa.int64())])
 TEXT = pa.schema([("set", pa.int64()), ("body", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("p", pa.int64()), ("x", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_()), ("need", pa.int32()), ("delta", pa.list_(pa.int64()))])
@@ -99,25 +101,60 @@ def read_meeting(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), sets[which], np.frombuffer(data, np.uint8, n, at + 12 * n) > 0
 
 
-def _met(kind: int, a, b, c, profile=None) -> pa.Table:
-    n = len(a)
-    return pa.table([pa.array(np.full(n, kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, c)), pa.nulls(n, pa.binary()) if profile is None else profile], schema=MET)
+def _met(kind: int, a, b, c, profile) -> pa.Table:
+    return pa.table([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, c)), profile], schema=MET)
+
+
+def _bodies(kind: int, bodies: list[bytes], block: int = 0) -> pa.Table:
+    """Rows that hold many triples each."""
+    a = np.full(len(bodies), block, np.int64)
+    return _met(kind, a, a * 0, a * 0, pa.array(bodies, pa.binary()))
+
+
+def write_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
+    """Triples by ascending ``a``, with few different ``c``."""
+    used, which = np.unique(c, return_inverse=True)
+    steps = np.diff(a, prepend=np.int64(0))
+    body = np.array([len(a), len(used)], "<i8").tobytes() + used.astype("<i8").tobytes() + planes(steps).tobytes() + planes(b).tobytes() + planes(which)[:4].tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def read_triples(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    n, used = np.frombuffer(data, "<i8", 2).tolist()
+    column = lambda at, width, kind: np.ascontiguousarray(np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T).view(kind).ravel()
+    at = 16 + 8 * used
+    return np.cumsum(column(at, 8, "<i8"), dtype=np.int64), column(at + 8 * n, 8, "<i8"), np.frombuffer(data, "<i8", used, 16)[column(at + 16 * n, 4, "<u4")]
+
+
+def triples(batches):
+    """The triples of rows ``kind, a, profile``; those of a block's own groups are ``key, set, block``."""
+    for batch in batches:
+        for kind, block, body in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "profile"))):
+            if kind == LOCAL:
+                key, own = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), "<i8").reshape(2, -1)
+                found = key, own, np.full(len(key), block)
+            else:
+                found = read_triples(body)
+            for k in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)], pa.int64()) for x in found], schema=TRIPLE)
 
 
 def meet(table: pa.Table) -> pa.Table:
     """One bucket of keys. For the groups of two sets and more: ``pivot, set, block`` where a block has one set with the key, each pair once, and
-    ``pivot, key, block`` where it has several; a key has one entry a block, however many sets there have it. Rows of documents and of a block's own groups
-    pass through."""
+    ``pivot, key, block`` where it has several, many in a row; a key has one entry a block, however many sets there have it. A pair of sets that share many keys
+    is found in many buckets, so these rows are kept short. Documents and the rows of a block's own groups pass through."""
     out, keys, sets, blocks, flags = [], [], [], [], []
     for kind, block, body in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "body"))):
-        raw = zstandard.ZstdDecompressor().decompress(body) if kind in (DOC, LOCAL) else None
         if kind == DOC:
-            n = len(raw) // (24 + CELLS)
-            rows, held = np.frombuffer(raw, "<i8", 3 * n).reshape(-1, 3), raw[24 * n :]
-            out.append(_met(DOC, rows[:, 0], rows[:, 1], rows[:, 2], pa.array([held[CELLS * k : CELLS * (k + 1)] for k in range(n)], pa.binary())))
+            raw = zstandard.ZstdDecompressor().decompress(body)
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            rows, held = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(-1, 4), raw[8 + 32 * n :]
+            ends = np.cumsum(np.where(rows[:, 3] > 0, CELLS + sketch_bytes(rows[:, 1]), 0)).tolist()
+            shapes = [held[a:b] if fresh else None for a, b, fresh in zip([0, *ends], ends, rows[:, 3].tolist())]
+            out.append(_met(DOC, rows[:, 0], rows[:, 1], rows[:, 2], pa.array(shapes, pa.binary())))
         elif kind == LOCAL:
-            key, own = np.frombuffer(raw, "<i8").reshape(2, -1)
-            out.append(_met(LOCAL, key, own, np.full(len(key), block)))
+            out.append(_bodies(LOCAL, [body], block))
         else:
             k, s, f = read_meeting(body)
             keys.append(k)
@@ -133,13 +170,16 @@ def meet(table: pa.Table) -> pa.Table:
         pivot = np.repeat(which[heads], n)  # sets ascend within a key
         met = np.repeat((np.maximum.reduceat(which, heads) != which[heads]) | np.logical_or.reduceat(many, heads), n)
         one, several = met & ~many, met & many
-        out.append(_met(MANY, pivot[several], key[several].view(np.int64), block[several]))
+        order = np.argsort(pivot[several], kind="stable")
+        if len(order):
+            out.append(_bodies(MANY, [write_triples(pivot[several][order], key[several][order].view(np.int64), block[several][order])]))
         pivot, which, block = pivot[one], which[one], block[one]
         order = np.lexsort((block, which, pivot))
         pivot, which, block = pivot[order], which[order], block[order]
         new = np.ones(len(pivot), bool)
         new[1:] = (pivot[1:] != pivot[:-1]) | (which[1:] != which[:-1])
-        out.append(_met(GROUP, pivot[new], which[new], block[new]))
+        if len(new):
+            out.append(_bodies(GROUP, [write_triples(pivot[new], which[new], block[new])]))
     return pa.concat_tables(out) if out else _table([], MET)
 
 
@@ -215,19 +255,21 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
                     part = docs[k : k + TOGETHER]
                     sets = shingle_sets([t.decode() for _, t in part], words)
                     ids = [set_name(s) if len(s) else 0 for s in sets]
-                    out += [(d, len(s), i) for (d, _), s, i in zip(part, sets, ids)]
-                    held.append(profiles(sets).tobytes())
                     new = []
                     for place, (s, i) in enumerate(zip(sets, ids)):
                         if len(s) and i not in known:
                             known.add(i)
                             new.append(place)
+                    first = set(new)
+                    out += [(d, len(s), i, k in first) for k, ((d, _), s, i) in enumerate(zip(part, sets, ids))]
                     if new:
+                        own = [sets[p] for p in new]
+                        held += [x for pair in zip(map(bytes, profiles(own)), sketches(own)) for x in pair]
                         owner, key = signatures([sets[p] for p in new], numerator, denominator)
                         fresh[0].append(key)
                         fresh[1].append(owner + len(fresh[2]))
                         fresh[2].extend(ids[p] for p in new)
-                rows = [(block % (1 << bits), block, DOC, zstandard.ZstdCompressor(level=1).compress(np.array(out, "<i8").tobytes() + b"".join(held)))]
+                rows = [(block % (1 << bits), block, DOC, zstandard.ZstdCompressor(level=1).compress(np.array([len(docs)], "<i8").tobytes() + np.array(out, "<i8").tobytes() + b"".join(held)))]
                 if fresh[2]:
                     key, which, sets = np.concatenate(fresh[0]), np.concatenate(fresh[1]), np.array(fresh[2], np.int64)
                     order = np.lexsort((sets[which], key))
@@ -250,9 +292,8 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     members = met.filter(F.col("kind") == DOC).select(
         F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("set")
     )
-    local = met.filter(F.col("kind") == LOCAL).select(F.col("a").alias("key"), F.col("b").alias("x"), F.col("c").alias("block"))
-    many = met.filter(F.col("kind") == MANY).select(F.col("a").alias("p"), F.col("b").alias("key"), F.col("c").alias("block"))
-    grouped = met.filter(F.col("kind") == GROUP).select(F.col("a").alias("p"), F.col("b").alias("x"), F.col("c").alias("block"))
+    rows_of = lambda kind, *names: met.filter(F.col("kind") == kind).select("kind", "a", "profile").mapInArrow(triples, _sql(TRIPLE)).toDF(*names)
+    local, many, grouped = rows_of(LOCAL, "key", "x", "block"), rows_of(MANY, "p", "key", "block"), rows_of(GROUP, "p", "x", "block")
     grouped = checkpointed(grouped.unionByName(many.join(local, ["key", "block"]).select("p", "x", "block")).groupBy("p", "x").agg(F.min("block").alias("block")))
     together = grouped.select("p", "x")
     homes = grouped.groupBy("x").agg(F.min("block").alias("block"))
@@ -264,13 +305,17 @@ def jaccard_classes(df: DataFrame, words: int, numerator: int, denominator: int,
     def sieve(table: pa.Table) -> pa.Table:
         """Of two parts of a region (or one with itself), the sets with another in their window."""
         n, part = table.column("n").to_numpy(), table.column("part").to_numpy()
-        profile = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        shapes = table.column("profile").to_pylist()
+        profile = np.frombuffer(b"".join(s[:CELLS] for s in shapes), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        sketch = Sketches([s[CELLS:] for s in shapes])
         one = np.flatnonzero(part == table.column("i")[0].as_py())
         two = np.flatnonzero(part == table.column("j")[0].as_py())
         near = np.zeros(len(n), bool)
         for k in one:
             apart = np.abs(profile[two] - profile[k]).sum(1, dtype=np.int64)
             met = two[(apart * (denominator + numerator) <= (n[two] + n[k]) * (denominator - numerator)) & (two != k)]
+            if len(met):
+                met = met[sketch.apart(k, met) * (denominator + numerator) <= (n[met] + n[k]) * (denominator - numerator)]
             near[met] = True
             near[k] |= len(met) > 0
         return pa.table([table.column("p").filter(pa.array(near)), table.column("x").filter(pa.array(near))], schema=NEAR)

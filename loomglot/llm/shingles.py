@@ -115,3 +115,50 @@ def profiles(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     cell = (mix(flat) >> np.uint64(59)).astype(np.int64) + np.repeat(np.arange(len(sets)), sizes) * CELLS
     return np.minimum(np.bincount(cell, minlength=len(sets) * CELLS), 255).astype(np.uint8).reshape(len(sets), CELLS)
+
+
+def sketch_bytes(n: np.ndarray) -> np.ndarray:
+    """Bytes of the sketch of a set of ``n``: a bit or more for each element, a power of two, at least 8."""
+    return np.maximum(1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64), 64) // 8
+
+
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set, whether it has an odd number of shingles in each of as many parts of the space as its sketch has bits.
+
+    Two sketches differ in at most as many bits as the sets have elements apart. A sketch is folded to half its bits by exclusive or of its halves.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bits = 8 * sketch_bytes(sizes)
+    end = np.cumsum(bits)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    part = (mix(flat) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(end - bits, sizes)
+    body = np.packbits((np.bincount(part, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [body[b - a : b] for a, b in zip((bits // 8).tolist(), (end // 8).tolist())]
+
+
+class Sketches:
+    """Sketches of many sets, folded to every size among them."""
+
+    def __init__(self, bodies: list[bytes]):
+        self.width, self.at = np.array([len(b) for b in bodies], np.int64), {}
+        before = None
+        for w in np.unique(self.width)[::-1].tolist():
+            own = np.flatnonzero(self.width == w)
+            table = np.frombuffer(b"".join(bodies[k] for k in own), "<u8").reshape(-1, w // 8)
+            if before is not None:
+                own = np.concatenate((before[0], own))
+                table = np.concatenate((np.bitwise_xor.reduce(before[1].reshape(len(before[1]), -1, w // 8), axis=1), table))
+            before = own, table
+            place = np.zeros(len(bodies), np.int64)
+            place[own] = np.arange(len(own))
+            self.at[w] = place, table
+
+    def apart(self, k: int, others: np.ndarray) -> np.ndarray:
+        """A lower bound of the elements that each of ``others`` and ``k`` do not share."""
+        width = np.minimum(self.width[others], self.width[k])
+        out = np.zeros(len(others), np.int64)
+        for w in np.unique(width).tolist():
+            place, table = self.at[w]
+            here = width == w
+            out[here] = np.bitwise_count(table[place[others[here]]] ^ table[place[k]]).sum(1, dtype=np.int64)
+        return out

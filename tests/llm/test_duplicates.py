@@ -77,6 +77,32 @@ def test_jaccard_many_sets_of_one_template(spark, monkeypatch):
     assert as_rows(jaccard_join.jaccard_components(df, 3, 90, 100)) == brute_components(rows, 3, 90, 100)
 
 
+def test_sketches_never_exceed_the_difference():
+    rnd = np.random.default_rng(5)
+    pool = np.unique(rnd.integers(0, 1 << shingles.NAME_BITS, 3000).astype(np.uint64))
+    sets = [np.zeros(0, np.uint64), *(np.sort(rnd.choice(pool, int(n), replace=False)) for n in rnd.integers(1, 2900, 60))]
+    held = shingles.Sketches(shingles.sketches(sets))
+    everyone = np.arange(len(sets))
+    for k, s in enumerate(sets):
+        assert [int(x) for x in held.apart(k, everyone) > [len(np.setxor1d(s, o)) for o in sets]] == [0] * len(sets)
+        assert held.apart(k, everyone[k : k + 1]) == 0
+
+
+def test_long_sets_that_are_not_alike_leave_before_texts_are_read(spark, monkeypatch):
+    """Texts of which a half is shared meet by many keys, and their profiles are alike."""
+    frames, kept = [], jaccard_join.checkpointed
+    monkeypatch.setattr(jaccard_join, "checkpointed", lambda df: frames.append(kept(df)) or frames[-1])
+    common = " ".join(f"c{k}" for k in range(1000))
+    rows = [(d, common + " " + " ".join(f"w{d}x{k}" for k in range(1000))) for d in range(12)]
+    rows += [(12, rows[3][1] + " end"), (13, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert as_rows(jaccard_join.jaccard_components(df, 5, 80, 100)) == brute_components(rows, 5, 80, 100)
+    fetched = next(f for f in frames if f.columns == ["set", "body"])
+    assert fetched.count() == 2
+    met = frames[0].groupBy("kind").count().collect()
+    assert sum(r["count"] for r in met if r["kind"] != jaccard_join.DOC) < 200  # many pairs in a row
+
+
 def test_jaccard_query(spark, texts):
     assert as_rows(queries.QUERIES["op2_jaccard_join"](spark, DATA)) == brute_components(texts, 3, 90, 100)
 
