@@ -205,3 +205,19 @@ def test_segmentations_follow_the_lattice(model, text):
 
 def test_registered(spark):
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+
+
+def test_packing_looks_words_up_by_their_stems():
+    """Ids are the library's for words in any case and with any ending; variants of a word are one entry of the memo."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        words = packing.WordIds(f.read())
+    library = Tokenizer.from_file(path)
+    pieces = ["Word", "word", "WORD.", "word,", "it's.", "IT'S", "3.", "a1,", "x\u0301.", "J\u030c", "H\u0331.", "\u00c9t\u00e9.", "I\u0307", "\u0130.", "\u03a3\u03a3.", "A\u03a3", "..", ".", "a.,", "a.b.", "a.\u00a0b", "<|endoftext|>", "<|ENDOFTEXT|>.", "<|", "\u2028", "\u212a."]
+    rnd = random.Random(3)
+    texts = [*pieces, *(rnd.choice([" ", "\n", "\t "]).join(rnd.choice(pieces) + rnd.choice(["", ".", ",", "\x0b"]) for _ in range(rnd.randrange(1, 7))) for _ in range(1500)), ""]
+    for text in texts:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    words.clear()
+    words.encode("Plain plain. PLAIN, plain")
+    assert set(words) == {b"plain", b".", b","}
