@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import functools
 import glob
+import itertools
 import os
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,6 +223,12 @@ def _entry(row: pd.Series) -> Entry:
     return Entry(row["id"], row["kind"], row["text"], pairs(row["forms"]), row["plural_id"], row["comment"], row["status"], pairs(row["custom"]) or {})
 
 
+def _complete(out: list[Resource]) -> None:
+    """A catalog from elsewhere gets the metadata it lacks."""
+    for r in out:
+        r.custom = {"source_language": next((x.custom["source_language"] for x in out if x.custom.get("source_language")), out[0].language), "version": "1.0"} | r.custom
+
+
 def rendered(resources: DataFrame, entries: DataFrame, format: str, name: str | None = None) -> DataFrame:
     """``path, content``: the files of a catalog. A format of one language gives a file a language, the others one file ``name``; each is rendered whole
     by one task, as the formats need. ``name`` may hold ``{language}``."""
@@ -240,13 +248,100 @@ def rendered(resources: DataFrame, entries: DataFrame, format: str, name: str |
             head = part.iloc[0]
             out.append(Resource(head["__language"], head["__domain"] or "", dict(head["__meta"] or {}), [_entry(r) for _, r in part.iterrows() if r["id"] is not None]))
         if format == "xcstrings":
-            for r in out:  # a catalog from elsewhere gets the metadata it lacks
-                r.custom = {"source_language": next((x.custom["source_language"] for x in out if x.custom.get("source_language")), out[0].language), "version": "1.0"} | r.custom
+            _complete(out)
         return pd.DataFrame([(pdf["path"].iloc[0], RENDERERS[format](out))], columns=["path", "content"])
 
     return rows.groupBy("path").applyInPandas(render, "path string, content string")
 
 
+#: Characters of a piece of a file.
+PIECE = 1 << 15
+
+
+def rendered_pieces(resources: DataFrame, entries: DataFrame, name: str = "catalog.xcstrings") -> DataFrame:
+    """``path, piece, content``: string catalogs, as ``rendered`` gives them, in pieces by ``piece``. Keys are rendered by many tasks, each of a range of them."""
+    path = F.replace(F.lit(name), F.lit("{language}"), F.col("language"))
+    meta = resources.select("resource_ord", F.col("language").alias("__language"), F.col("custom").alias("__meta"), path.alias("path"))
+    rows = entries.filter("id is not null").join(meta, "resource_ord").select("path", "id", "resource_ord", "entry_ord", "__language", "kind", "text", "plural_id", "forms", "comment", "status", "custom")
+    least = rows.groupBy("path").agg(F.min("id").alias("least"))
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("resource_ord")
+        own = [Resource(language, custom=dict(m) if m is not None else {}) for language, m in zip(pdf["__language"], pdf["__meta"])]
+        _complete(own)
+        before, after = string_catalog.file_ends(*string_catalog.heading(own), bool(pdf["least"].notna().iloc[0]))
+        return pd.DataFrame([(pdf["path"].iloc[0], -1, before), (pdf["path"].iloc[0], 1 << 62, after)], columns=["path", "piece", "content"])
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held, size, now, item, first = TaskContext.get().partitionId() << 32, [], 0, None, {}, False
+        for batch in batches:
+            batch = batch.astype(object).where(batch.notna(), None)
+            for row in zip(*(batch[c] for c in ("path", "id", "__language", "kind", "text", "plural_id", "forms", "comment", "status", "custom", "least"))):
+                if now != row[:2]:
+                    if item:
+                        held.append(("" if first else ",") + "\n" + string_catalog.rendered_item(now[1], item))
+                        size += len(held[-1])
+                    if held and (size >= PIECE or now[0] != row[0]):
+                        yield pd.DataFrame([(now[0], number, "".join(held))], columns=["path", "piece", "content"])
+                        number, held, size = number + 1, [], 0
+                    now, item, first = row[:2], {}, row[1] == row[10]
+                pairs = lambda x: dict(x) if x is not None else None
+                string_catalog.add_entry(item, row[2], Entry(row[1], row[3], row[4], pairs(row[6]), row[5], row[7], row[8], pairs(row[9]) or {}))
+        if item:
+            held.append(("" if first else ",") + "\n" + string_catalog.rendered_item(now[1], item))
+        if held:
+            yield pd.DataFrame([(now[0], number, "".join(held))], columns=["path", "piece", "content"])
+
+    kind = "path string, piece bigint, content string"
+    own = meta.join(least, "path", "left").groupBy("path").applyInPandas(ends, kind)
+    return own.unionByName(rows.join(least, "path").repartitionByRange("path", "id").sortWithinPartitions("path", "id", "resource_ord", "entry_ord").mapInPandas(items, kind))
+
+
+def parsed_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``resources, entries`` of string catalogs given as ``path, piece, content``, as ``parsed`` gives them for whole files. A task holds one key of a file at a time;
+    the file itself is spooled to the task's temporary folder, as it is read more than once. A file whose keys do not ascend is parsed whole."""
+    ranked = pieces.select("path").distinct().withColumn("rank", F.row_number().over(Window.orderBy("path")) - 1)  # names alone
+
+    def rows_of(path: str, rank: int, spool) -> Iterator[tuple]:
+        def read():
+            spool.seek(0)
+            return iter(lambda: spool.read(1 << 20) or None, None)
+
+        plain = re.sub(r"^file:/+", "/", path)
+        domain = re.sub(r"\.[^.]*$", "", os.path.basename(plain))
+        try:
+            source, version, languages = string_catalog.survey(read())
+        except string_catalog.Unordered:
+            for k, r in enumerate(parse_file(plain, "".join(read()).encode(), "xcstrings")):
+                yield (rank * PER_FILE + k, None, r.language, r.domain, *[None] * 7, r.custom, path)
+                for n, e in enumerate(r.entries):
+                    yield (rank * PER_FILE + k, n, r.language, r.domain, e.id, e.kind, e.text, e.plural_id, e.forms, e.comment, e.status, e.custom, None)
+            return
+        custom = {"format": "xcstrings", "source_language": source, "version": version}
+        ords, counts = {x: rank * PER_FILE + k for k, x in enumerate(languages)}, dict.fromkeys(languages, 0)
+        for x in languages:
+            yield (ords[x], None, x, domain, *[None] * 7, custom, path)
+        for x, e in string_catalog.entries_in_order(read, source):
+            yield (ords[x], counts[x], x, domain, e.id, e.kind, e.text, e.plural_id, e.forms, e.comment, e.status, e.custom, None)
+            counts[x] += 1
+
+    def frames(path: str, rank: int, spool) -> Iterator[pd.DataFrame]:
+        found = rows_of(path, rank, spool)
+        while out := list(itertools.islice(found, 5000)):
+            yield pd.DataFrame(out, columns=PARSED.names).astype({"entry_ord": "Int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts = ((path, int(rank), content) for batch in batches for path, rank, content in zip(batch["path"], batch["rank"], batch["content"]))
+        for (path, rank), own in itertools.groupby(texts, key=lambda x: x[:2]):
+            with tempfile.TemporaryFile("w+", encoding="utf-8", newline="") as spool:
+                spool.writelines(content for _, _, content in own)
+                yield from frames(path, rank, spool)
+
+    whole = pieces.join(ranked, "path").repartition("path").sortWithinPartitions("path", "piece").select("path", "rank", "content")
+    both = whole.mapInPandas(run, PARSED)
+    return both.filter("entry_ord is null").select(*RESOURCES.names), both.filter("entry_ord is not null").select(*ENTRIES.names)
+
+
 def write_catalog(resources: DataFrame, entries: DataFrame, folder: str, format: str, name: str | None = None) -> list[str]:
     """Write the files of a catalog into a folder and return their paths; files come to the driver one at a time."""
     os.makedirs(folder, exist_ok=True)

@@ -202,3 +202,26 @@ def test_provenance(spark, tmp_path):
     rows = {r["language"]: r["custom"] for r in resources.collect()}
     assert rows["fr"]["provenance.source_path"] == str(tmp_path / "t.csv") and rows["fr"]["provenance.source_format"] == "csv" and rows["en"]["provenance.source_language"] == "en"
     assert entries.count() == 2
+
+
+def test_string_catalogs_in_pieces(spark, monkeypatch):
+    """Pieces make up the file that is rendered whole, and are read as the whole file is, for keys in any order."""
+    monkeypatch.setattr(files, "PIECE", 300)
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    data = json.loads(json.dumps(CATALOG))
+    data["strings"] |= {f"many {k} é": {"localizations": {"de": {"stringUnit": {"state": "new", "value": f"a {k}\n"}}}} if k % 3 else {"shouldTranslate": k % 2 == 0} for k in range(40)}
+    whole = json.dumps(data, ensure_ascii=False, sort_keys=True)
+    for text in (whole, json.dumps(data), '{"strings": {"b": {}, "a": {}, "b": {"comment": "x"}}, "sourceLanguage": "fr"}', '{"sourceLanguage": "fr", "strings": {}, "version": "2"}', '{"strings": {"a": {}}}'):
+        pieces = [("x/T.xcstrings", k, text[a : a + 7]) for k, a in enumerate(range(0, len(text), 7))]
+        a = files.parsed_pieces(spark.createDataFrame(pieces, "path string, piece long, content string").repartition(4))
+        b = files.parsed(spark.createDataFrame([("x/T.xcstrings", text.encode())], "path string, content binary"), keep=False)
+        for one, two in zip(a, b):
+            assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    resources, entries = files.parsed(spark.createDataFrame([("x/T.xcstrings", whole.encode())], "path string, content binary"), keep=False)
+    for rows in (entries, entries.limit(0)):
+        found = files.rendered_pieces(resources, rows).orderBy("path", "piece").collect()
+        assert "".join(r["content"] for r in found) == files.rendered(resources, rows, "xcstrings").first()["content"]
+        assert len(found) > 3 or not rows.count()
+    for text in ('{"strings": {"a": {}', '{"strings": {"a": {}}} x', '{"strings" {}}'):
+        with pytest.raises(CatalogError):
+            string_catalog.survey(iter([text[:4], text[4:]]))
