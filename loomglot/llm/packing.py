@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .common import Memo, doc_text, kept_in_worker, record_batch, small_batches
+from .token_counts import byte_alphabet
 
 END_ID = 1
 SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 4, 64, 256
@@ -32,11 +33,15 @@ LEAST_POWER = 256
 BLOCK_TOKENS = 1 << 20
 #: Bytes that a generation of the words a worker remembers may take; they only save time.
 MEMO_LIMIT = 56 << 20
-PLAIN_WORD = re.compile(rb"[!-~]+").fullmatch
-#: Fixed value: the vocabulary's split pattern, over lower-case ASCII.
-PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
-#: A full stop or comma that ends a word after a letter or digit is a part of its own.
-CLOSES = re.compile(rb"[.,](?<=[A-Za-z0-9].)(?=\s|\Z)")
+#: Printable ASCII and the Latin letters to U+017F, but for the one that two characters are in lower case.
+PLAIN_WORD = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: Fixed value: the vocabulary's split pattern, over such words in lower case.
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+").findall
+#: What the bytes of those letters stand as in the vocabulary.
+_LETTERS = {b: c for c, b in byte_alphabet().items()}
+STAND_INS = {p: "".join(_LETTERS[b] for b in chr(p).encode()) for p in range(0xC0, 0x180)}
+#: Marks that end a word after a letter or digit are a part of their own. Without the apostrophe, which takes letters along, and the marks of added tokens.
+CLOSES = re.compile(rb"[!-&(-/:;=?@[-`{}~](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:;=?@[-`{}~]*(?=\s|\Z)")
 #: Bytes of added tokens, which letters in lower case could make up, and of combining marks, with which small letters compose otherwise than capitals.
 CASED = (b"<|", b"\xcc", b"\xcd")
 SCHEMA = pa.schema([(c, pa.list_(pa.int32()) if c == "ids" else pa.int64()) for c in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -54,18 +59,23 @@ class WordIds(Memo):
         super().__init__(MEMO_LIMIT)
         self.tokenizer = Tokenizer.from_str(spec)
         self.merge = self.tokenizer.model.tokenize
-        self.added = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)").search
 
     def compute(self, word: bytes) -> bytes:
-        if PLAIN_WORD(word) and not any(map(word.__contains__, self.added)):
-            # Printable ASCII: lower-casing is the whole normalisation and each byte stands for itself.
-            found = [t.id for part in PLAIN_PARTS(word.lower().decode()) for t in self.merge(part)]
+        text = word.decode()
+        if self.added(text) or not PLAIN_WORD(text):
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        elif word.isalpha():
+            # ASCII letters are one part, in which each byte stands for itself.
+            found = [t.id for t in self.merge(text.lower())]
         else:
-            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            # Lower-casing is the whole normalisation.
+            found = [t.id for part in PLAIN_PARTS(text.lower()) for t in self.merge(part if part.isascii() else part.translate(STAND_INS))]
         return array("I", found).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Words are looked up without the stop or comma at their end and, where the ids are the same, in lower case: fewer different ones."""
+        """Words are looked up without the marks at their end and, where the ids are the same, in lower case: fewer different ones."""
         raw = CLOSES.sub(rb" \g<0>", text.encode())
         if not any(map(raw.__contains__, CASED)):
             raw = raw.lower()

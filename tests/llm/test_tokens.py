@@ -221,3 +221,29 @@ def test_packing_looks_words_up_by_their_stems():
     words.clear()
     words.encode("Plain plain. PLAIN, plain")
     assert set(words) == {b"plain", b".", b","}
+
+
+def test_packing_merges_latin_words_without_the_library(monkeypatch):
+    """Every Latin letter to U+017F but one, and any marks at a word's end: the ids are the library's, and only the words that need it go to its whole ``encode``."""
+    with open(WORD, encoding="utf-8") as f:
+        spec = f.read()
+    library, words = Tokenizer.from_str(spec), packing.WordIds(spec)
+    rnd, marks = random.Random(4), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    for c in [chr(p) for p in range(0x21, 0x180) if not 0x7F <= p < 0xA1] + [*"\u0300\u0301\u03a3\u0436\u4f60"]:
+        for t in [c, f"a{c}b", f"{c}'s{c}", f"\u00c9{c}.", *(f"{rnd.choice('aZ7\u00fc\u00d7')}{c}{rnd.choice(marks)}{rnd.choice(marks)}{rnd.choice(['', ' ', chr(0x301), '<|endoftext|>'])}" for _ in range(40))]:
+            assert np.frombuffer(words.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+    whole = []
+
+    class Counted:
+        def encode(self, text, **kw):
+            whole.append(text)
+            return library.encode(text, **kw)
+
+    words.clear(), words.old.clear()
+    monkeypatch.setattr(words, "tokenizer", Counted())
+    words.encode("Stra\u00dfe \u00c9t\u00e9. na\u00efve,*** ni\u00f1o$$$ \u0141\u00f3d\u017a!? \u0130zmir \u0416 a\u0301")
+    assert whole == ["\u0130zmir", "\u0416", "a\u0301"]
+    words.clear(), words.old.clear()
+    words.encode("plain plain*** plain$$$ plain.%%% plain!! caf\u00e9 caf\u00e9, it's")
+    assert set(words) == {b"plain", b"***", b"$$$", b".%%%", b"!!", "caf\u00e9".encode(), b",", b"it's"}
